@@ -1 +1,128 @@
-QUERIES = {}
+"""Finite runs of the streaming operators over the given events.
+
+Each function streams the whole events table through an operator until no input
+is left and returns the table it was written to. Event times are cast back to
+``timestamp_ntz``.
+"""
+
+from __future__ import annotations
+
+from contextlib import contextmanager
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from muster.operators.daily import daily_attendance
+from muster.plans.batch import SESSION_GAP
+from muster.session import scratch
+from muster.sources.register import read_register, write_register
+from muster.sources.streams import drain, punch_stream
+from muster.sources.tables import organisation, roster, table
+from muster.streaming import live
+from muster.streaming.late import late_punches, settle_late, stored_punches
+from muster.streaming.presence import live_state
+
+# Fixed values, stated alike in oracle.py.
+LATENESS = timedelta(minutes=10)
+BUCKET = timedelta(hours=1)
+OUT_WITHIN = timedelta(hours=12)
+STAY_TIMEOUT = timedelta(hours=8)
+DELIVERY_DAY = date(2024, 1, 16)
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return punch_stream(spark, folder, pathGlobFilter="events.parquet")
+
+
+def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def live_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = live.live_counts(_events(spark, folder), BUCKET, LATENESS)
+    return _wall_clock(drain(counts, "live-counts"), "window_start")
+
+
+def live_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every punch is delivered twice."""
+    twice = _events(spark, folder).unionByName(_events(spark, folder)).select("punch_id", "person", "ts", "kind")
+    return _wall_clock(drain(live.live_dedup(twice, LATENESS), "live-dedup"), "ts")
+
+
+def live_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    sessions = live.live_sessions(_events(spark, folder), SESSION_GAP, LATENESS)
+    return _wall_clock(drain(sessions, "live-sessions"), "session_start", "session_end")
+
+
+def live_enrich(spark: SparkSession, folder: str) -> DataFrame:
+    people = roster(spark, folder).join(organisation(spark, folder), "nation_id").drop("nation_id")
+    rows = live.live_enrich(_events(spark, folder).select("punch_id", "person", "ts"), people)
+    return _wall_clock(drain(rows, "live-enrich"), "ts")
+
+
+def live_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Signups that no purchase followed, taken as check-in and check-out."""
+    rows = _events(spark, folder).select("punch_id", "person", "ts", "kind")
+    ins = rows.filter(F.col("kind") == "signup").drop("kind")
+    outs = _events(spark, folder).filter(F.col("kind") == "purchase")
+    return _wall_clock(drain(live.live_unmatched(ins, outs, OUT_WITHIN, LATENESS), "live-unmatched"), "ts")
+
+
+def live_stays(spark: SparkSession, folder: str) -> DataFrame:
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+        stays = drain(live_state(_events(spark, folder), STAY_TIMEOUT, LATENESS), "live-stays")
+    return _wall_clock(stays, "in_ts", "out_ts")
+
+
+def _late_delivery(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Deliver the events in three waves; error punches of the first half come last.
+
+    The register is written after two waves and settled after the third.
+    """
+    store, inbox = scratch(spark, "punch-store"), scratch(spark, "inbox")
+    events = table(spark, folder, "events")
+    early = F.to_date("ts") < F.lit(DELIVERY_DAY)
+    error = F.col("event_type") == "error"
+    for wave in (early & ~error, ~early, early & error):
+        events.filter(wave).write.mode("append").parquet(inbox)
+        late_punches(punch_stream(spark, inbox), store, LATENESS).awaitTermination()
+    path = f"{store}/register"
+    write_register(daily_attendance(stored_punches(spark, store).filter("not late")), path)
+    settle_late(spark, store, path)
+    return store, path
+
+
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    store, _ = _late_delivery(spark, folder)
+    rows = stored_punches(spark, store).filter("late").select("punch_id", "person", "ts")
+    return _wall_clock(rows, "ts")
+
+
+def settled_register(spark: SparkSession, folder: str) -> DataFrame:
+    _, path = _late_delivery(spark, folder)
+    return _wall_clock(read_register(spark, path), "first_in", "last_out")
+
+
+QUERIES = {
+    "s01_live_counts": live_counts,
+    "s02_live_dedup": live_dedup,
+    "s03_live_sessions": live_sessions,
+    "s04_live_enrich": live_enrich,
+    "s05_live_unmatched": live_unmatched,
+    "s06_late_punches": late_rows,
+    "s06_settled_register": settled_register,
+    "s07_live_state": live_stays,
+}
