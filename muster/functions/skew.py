@@ -33,14 +33,18 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> t
     """Split ``df`` into groups of at most ``hot_rows`` rows and larger ones.
 
     The list of large groups is broadcast: it has fewer than ``rows / hot_rows``
-    entries. Counting reads the key columns alone and combines map-side. When no
-    group is large, AQE sees the empty list and removes both the join and the
-    whole second branch from the running plan.
+    entries. It is found key by key: a large person-day can only be a day of a
+    large person, so days are counted for large persons alone. Counting reads the
+    key columns and combines map-side. When no group is large, AQE sees the empty
+    list and removes the joins and the whole second branch from the running plan.
     """
-    hot = F.broadcast(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    )
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+    rows = df
+    for depth in range(1, len(keys) + 1):
+        key = list(keys[:depth])
+        counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        hot = F.broadcast(counts.filter(F.col("_n") > hot_rows).select(*key))
+        rows = df.join(hot, key, "left_semi")
+    return df.join(hot, key, "left_anti"), rows
 
 
 def carry_before(
@@ -48,38 +52,39 @@ def carry_before(
     keys: Sequence[str],
     value: str,
     agg: Callable[[str], Column],
+    name: str,
     tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``agg(value)`` over the rows before each row, level by level.
+    """Add ``name``: ``agg(value)`` over all rows of the group before each row.
 
-    ``rows`` must be unique on ``(*keys, ts, *tie)``. The result gains three
-    columns, each null where nothing comes before: ``in_second`` (earlier rows of
-    the same second), ``in_day`` (earlier seconds of the day) and ``in_past``
-    (earlier days). The caller combines them (sum, greatest).
+    ``rows`` must be unique on ``(*keys, ts, *tie)``; ``name`` is null where
+    nothing comes before. Each level hands its result to the next as one more row
+    in front of the group, so there is no join and only the last level shuffles
+    the rows themselves.
     """
-    keys = list(keys)
-    rows = rows.withColumn("_day", F.to_date("ts")).withColumn("_sec", second_of_day(F.col("ts")))
-    seconds = rows.groupBy(*keys, "_day", "_sec").agg(agg(value).alias("_v"))
-    days = seconds.groupBy(*keys, "_day").agg(agg("_v").alias("_v"))
-
-    def before(part: list[str], *order: str):
-        return Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-
-    seconds = seconds.select(*keys, "_day", "_sec", agg("_v").over(before(keys + ["_day"], "_sec")).alias("in_day"))
-    days = days.select(*keys, "_day", agg("_v").over(before(keys, "_day")).alias("in_past"))
+    day, second = [*keys, "_day"], [*keys, "_day", "_sec"]
+    rows = rows.withColumns({"_day": F.to_date("ts"), "_sec": second_of_day(F.col("ts")), "_row": F.lit(True)})
+    seconds = rows.groupBy(*second).agg(agg(value).alias(value))
+    days = seconds.groupBy(*day).agg(agg(value).alias(value))
+
+    def before(df: DataFrame, part: Sequence[str], *order: str) -> DataFrame:
+        earlier = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, agg(value).over(earlier))
+
+    past = before(days, keys, "_day").select(*day, F.lit(-1).alias("_sec"), F.col(name).alias(value))
+    in_day = before(seconds.unionByName(past), day, "_sec").filter(F.col("_sec") >= 0)
+    carried = in_day.select(*second, F.lit(False).alias("_row"), F.col(name).alias(value))
     return (
-        rows.withColumn("in_second", agg(value).over(before(keys + ["_day", "_sec"], "ts", *tie)))
-        .join(seconds, keys + ["_day", "_sec"])
-        .join(days, keys + ["_day"])
-        .drop("_day", "_sec")
+        before(rows.unionByName(carried, allowMissingColumns=True), second, "_row", "ts", *tie)
+        .filter("_row")
+        .drop("_day", "_sec", "_row")
     )
 
 
 def total_before(rows: DataFrame, keys: Sequence[str], value: str, name: str, tie: Sequence[str] = ()) -> DataFrame:
     """Add ``name``: the sum of ``value`` over all earlier rows of the group."""
-    parts = ["in_second", "in_day", "in_past"]
-    total = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts), F.lit(0))
-    return carry_before(rows, keys, value, F.sum, tie).withColumn(name, total).drop(*parts)
+    summed = carry_before(rows, keys, value, F.sum, name, tie)
+    return summed.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
 def repeat_rows(df: DataFrame, copies: str, by: Sequence[str]) -> DataFrame:

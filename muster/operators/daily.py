@@ -1,7 +1,8 @@
 """One row per person and day, and what follows from it.
 
-Everything after :func:`daily_attendance` works on at most one row per person and
-day, so a window over a person is bounded by the length of the calendar.
+``daily`` below is the result of :func:`daily_attendance` or a register read back:
+exactly one row per person and day. Nothing here makes it distinct again, and a
+window over a person is bounded by the length of the calendar.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def attendance_rate(daily: DataFrame, roster: DataFrame, calendar: DataFrame) ->
     """
     expected = calendar.agg(F.count_distinct("day").alias("n")).scalar()
     on_calendar = daily.join(F.broadcast(calendar.select("day").distinct()), "day", "left_semi")
-    attended = on_calendar.groupBy("person").agg(F.count_distinct("day").alias("attended"))
+    attended = on_calendar.groupBy("person").agg(F.count(F.lit(1)).alias("attended"))
     counts = roster.select("person").join(attended, "person", "left").select(
         "person", F.coalesce("attended", F.lit(0).cast("long")).alias("attended"), expected.alias("expected")
     )
@@ -40,8 +41,7 @@ def attendance_rate(daily: DataFrame, roster: DataFrame, calendar: DataFrame) ->
 
 
 def streaks(days: DataFrame) -> DataFrame:
-    """Runs of consecutive dates per person of ``(person, day)``."""
-    days = days.select("person", "day").distinct()
+    """Runs of consecutive dates per person; ``days`` has one row per person and day."""
     run = F.date_sub("day", F.row_number().over(by_person("day")))
     return (
         days.withColumn("_run", run)
@@ -62,18 +62,16 @@ def attendance_streaks(daily: DataFrame) -> DataFrame:
 
 def shortage(daily: DataFrame, minimum: int) -> DataFrame:
     """Persons with a punch, but on fewer than ``minimum`` days."""
-    return daily.groupBy("person").agg(F.count_distinct("day").alias("days")).filter(F.col("days") < minimum)
+    return daily.groupBy("person").agg(F.count(F.lit(1)).alias("days")).filter(F.col("days") < minimum)
 
 
 def rolling_days(daily: DataFrame, n: int) -> DataFrame:
     """Days attended in the ``n`` calendar days that end with each attended day."""
     last_n = by_person(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(-(n - 1), 0)
-    return (
-        daily.select("person", "day").distinct().select("person", "day", F.count(F.lit(1)).over(last_n).alias("days"))
-    )
+    return daily.select("person", "day", F.count(F.lit(1)).over(last_n).alias("days"))
 
 
 def week_change(daily: DataFrame) -> DataFrame:
     """Days attended per week, and the change from the person's last recorded week."""
-    weeks = daily.groupBy("person", week_start(F.col("day")).alias("week")).agg(F.count_distinct("day").alias("days"))
+    weeks = daily.groupBy("person", week_start(F.col("day")).alias("week")).agg(F.count(F.lit(1)).alias("days"))
     return weeks.withColumn("change", F.col("days") - F.lag("days").over(by_person("week")))

@@ -84,7 +84,7 @@ def arrival_histogram(punches: DataFrame, width: timedelta) -> DataFrame:
 
 def top_attendance(daily: DataFrame, roster: DataFrame, k: int) -> DataFrame:
     """The ``k`` persons of each cohort with most days, ties by person id."""
-    days = daily.groupBy("person").agg(F.count_distinct("day").alias("days"))
+    days = daily.groupBy("person").agg(F.count(F.lit(1)).alias("days"))
     best = Window.partitionBy("cohort").orderBy(F.desc("days"), "person")
     return (
         roster.select("person", "cohort")

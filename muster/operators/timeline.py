@@ -16,14 +16,19 @@ from muster.model import HOT_ROWS
 SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 
 
-def presence_sessions(punches: DataFrame, gap: timedelta) -> DataFrame:
+def presence_sessions(punches: DataFrame, gap: timedelta, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Runs of punches closer than ``gap``; a session ends ``gap`` after its last one.
 
-    Punches in one gap-wide bucket are always in one session. They are merged
-    map-side first, so what is put in order per person is at most one row per
-    bucket, however many punches there are.
+    Punches in one gap-wide bucket are always in one session, so they are merged
+    first. For a large person that happens map-side: what is put in order is at
+    most one row per bucket. All others are shuffled once, by person.
     """
-    merged = punches.groupBy("person", bucket(F.col("ts"), gap).alias("_bucket")).agg(
+    few, many = split_hot(punches.select("person", "ts"), ["person"], hot_rows)
+    return _sessions(few.repartition("person"), gap).unionByName(_sessions(many, gap))
+
+
+def _sessions(rows: DataFrame, gap: timedelta) -> DataFrame:
+    merged = rows.groupBy("person", bucket(F.col("ts"), gap).alias("_bucket")).agg(
         F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")
     )
     order = by_person("_bucket")
@@ -52,7 +57,7 @@ def close_punches(punches: DataFrame, within: timedelta, hot_rows: int = HOT_ROW
     """
     few, many = split_hot(punches.select("person", "ts"), ["person"], hot_rows)
     order = by_person("ts", "is_punch").rowsBetween(Window.unboundedPreceding, -1)
-    moves = _moves(few, within)
+    moves = _moves(few.repartition("person"), within)
     counted = moves.withColumn("earlier", F.coalesce(F.sum("change").over(order), F.lit(0)))
     counted = counted.unionByName(total_before(_moves(many, within), ["person"], "change", "earlier", ["is_punch"]))
     n = F.col("change")
@@ -89,9 +94,8 @@ def last_before(punches: DataFrame, others: DataFrame, hot_rows: int = HOT_ROWS)
     plain = few.withColumn("_last", F.last(found, ignorenulls=True).over(order)).filter(~F.col("is_other"))
 
     instants = many.groupBy("person", "ts").agg(F.max(found).alias("other"))
-    levels = ["other", "in_second", "in_day", "in_past"]
-    answers = carry_before(instants, ["person"], "other", F.max).select(
-        "person", "ts", F.greatest(*levels).alias("_last")
+    answers = carry_before(instants, ["person"], "other", F.max, "earlier").select(
+        "person", "ts", F.greatest("other", "earlier").alias("_last")
     )
     sliced = many.filter(~F.col("is_other")).join(answers, ["person", "ts"])
     return plain.unionByName(sliced).select(
