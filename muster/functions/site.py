@@ -20,13 +20,15 @@ def apply_policy(
 
     ``records`` holds one row per person and day (an operator's daily result, not
     raw punches), so with ``person`` among the keys a group is never larger than
-    the number of days.
+    the number of days. The number of partitions is given, since AQE would merge
+    them by their few bytes while the Python work per byte is large.
     """
     if "person" not in keys:
         raise ValueError("a policy group must be within one person")
     if not {"person", "day"} <= set(records.columns):
         raise ValueError("records must be per person and day")
-    return records.groupBy(*keys).applyInPandas(fn, schema)
+    partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return records.repartition(partitions, *keys).groupBy(*keys).applyInPandas(fn, schema)
 
 
 def classify(

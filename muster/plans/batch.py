@@ -245,10 +245,11 @@ def time_bank(spark: SparkSession, folder: str) -> DataFrame:
     """A site rule: minutes above a full day are banked, the bank never goes below zero."""
 
     def bank(month: pd.DataFrame) -> pd.DataFrame:
-        month = month.sort_values("day")
-        total = (month["minutes"] - FULL_DAY).cumsum()
-        floor = total.cummin().clip(upper=0)
-        return month.assign(balance=total - floor)[["person", "day", "minutes", "balance"]]
+        order = np.argsort(month["day"].to_numpy())
+        day, minutes = month["day"].to_numpy()[order], month["minutes"].to_numpy()[order]
+        total = np.cumsum(minutes - FULL_DAY)
+        balance = total - np.minimum(np.minimum.accumulate(total), 0)
+        return pd.DataFrame({"person": month["person"].iat[0], "day": day, "minutes": minutes, "balance": balance})
 
     records = _worked(spark, folder).withColumn("month", F.trunc("day", "month"))
     return apply_policy(records, ["person", "month"], bank, "person long, day date, minutes long, balance long")

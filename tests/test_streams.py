@@ -1,0 +1,150 @@
+"""Streams of several files: late rows, copies, order of arrival, restarts."""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import at, d, make_punches, rows
+from muster.operators import timeline
+from muster.operators.daily import daily_attendance
+from muster.plans.streams import ROCKSDB
+from muster.session import scratch
+from muster.sources.register import read_register, write_register
+from muster.sources.streams import drain, event_time
+from muster.streaming import live
+from muster.streaming.late import late_punches, settle_late, stored_punches
+from muster.streaming.presence import live_state
+
+LATENESS = timedelta(minutes=10)
+
+
+@pytest.fixture
+def inbox(spark):
+    """A folder that files arrive in, one micro-batch each."""
+    return Inbox(spark)
+
+
+class Inbox:
+    def __init__(self, spark):
+        self.spark, self.path = spark, scratch(spark, "inbox")
+        self.schema = None
+
+    def put(self, df):
+        self.schema = df.schema
+        df.coalesce(1).write.mode("append").parquet(self.path)
+        return self
+
+    def stream(self):
+        reader = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1)
+        return event_time(reader.parquet(self.path))
+
+
+def wall(df, *columns):
+    """Rows with event times back on the wall clock."""
+    times = {c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"}
+    return rows(df.withColumns(times), *columns)
+
+
+def test_late_rows_are_dropped_by_the_watermark_but_routed_by_late_punches(spark, inbox):
+    inbox.put(make_punches(spark, [(1, at(1, 9)), (1, at(1, 12))]))
+    inbox.put(make_punches(spark, [(2, at(1, 11, 55))]).withColumn("punch_id", F.lit(100).cast("long")))
+    # A row is judged by the watermark of the batch before the one it arrives in.
+    third = make_punches(spark, [(2, at(1, 9, 30)), (2, at(2, 0))])
+    inbox.put(third.withColumn("punch_id", F.col("punch_id") + 200))
+    counts = drain(live.live_counts(inbox.stream(), timedelta(hours=1), LATENESS), "counts")
+    assert wall(counts, "window_start", "punches") == [(at(1, 11), 1), (at(1, 12), 1), (at(1, 9), 1)]
+
+    store = scratch(spark, "store")
+    late_punches(inbox.stream(), store, LATENESS).awaitTermination()
+    stored = stored_punches(spark, store)
+    assert stored.count() == 5
+    assert rows(stored.filter("late"), "punch_id") == [(201,)]
+
+
+def test_late_days_are_settled_and_others_stay(spark, inbox):
+    inbox.put(make_punches(spark, [(1, at(1, 9)), (1, at(2, 9)), (1, at(3, 9))]))
+    store = scratch(spark, "store")
+    register = f"{store}/register"
+    late_punches(inbox.stream(), store, LATENESS).awaitTermination()
+    write_register(daily_attendance(stored_punches(spark, store)), register)
+    kept = spark.createDataFrame([(9, at(3, 1), at(3, 1), 1, d(3))], read_register(spark, register).schema)
+    write_register(kept, register)  # a day without late punches, changed by hand
+
+    inbox.put(make_punches(spark, [(2, at(2, 7)), (1, at(2, 8)), (1, at(4, 8))]))
+    late_punches(inbox.stream(), store, LATENESS).awaitTermination()
+    settle_late(spark, store, register)
+    assert rows(read_register(spark, register), "person", "day", "punches") == [
+        (1, d(1), 1),
+        (1, d(2), 2),
+        (2, d(2), 1),
+        (9, d(3), 1),
+    ]
+
+
+def test_copies_are_dropped_across_batches(spark, inbox):
+    punches = make_punches(spark, [(1, at(1, 9)), (2, at(1, 9, 5))])
+    inbox.put(punches).put(punches).put(make_punches(spark, [(1, at(1, 9))]).withColumn("punch_id", F.lit(9).cast("long")))
+    assert rows(drain(live.live_dedup(inbox.stream(), LATENESS), "dedup"), "punch_id") == [(1,), (2,), (9,)]
+
+
+def test_sessions_grow_across_batches(spark, inbox):
+    inbox.put(make_punches(spark, [(1, at(1, 9)), (1, at(1, 10))]))
+    inbox.put(make_punches(spark, [(1, at(1, 11))]))
+    inbox.put(make_punches(spark, [(2, at(1, 23))]))
+    got = drain(live.live_sessions(inbox.stream(), timedelta(hours=2), LATENESS), "sessions")
+    batch = timeline.presence_sessions(make_punches(spark, [(1, at(1, h)) for h in (9, 10, 11)]), timedelta(hours=2))
+    columns = ("person", "session_start", "session_end", "punches")
+    assert wall(got, *columns) == rows(batch, *columns)
+
+
+def test_enrich_keeps_unknown_persons(spark, inbox):
+    inbox.put(make_punches(spark, [(1, at(1, 9)), (2, at(1, 9))]))
+    roster = spark.createDataFrame([(1, "A")], "person long, cohort string")
+    assert rows(drain(live.live_enrich(inbox.stream(), roster), "enrich"), "person", "cohort") == [(1, "A"), (2, None)]
+
+
+def test_unmatched_waits_for_the_bound(spark):
+    within = timedelta(hours=2)
+    ins, outs = Inbox(spark), Inbox(spark)
+    ins.put(make_punches(spark, [(1, at(1, 9)), (2, at(1, 9)), (3, at(1, 9)), (4, at(1, 11, 59))]))
+    outs.put(make_punches(spark, [(1, at(1, 11)), (2, at(1, 11, 0, 1)), (4, at(1, 12, 1))]))
+    ins.put(make_punches(spark, [(5, at(3, 9))]))
+    outs.put(make_punches(spark, [(6, at(3, 9))]))
+    got = drain(live.live_unmatched(ins.stream(), outs.stream(), within, LATENESS), "unmatched")
+    # An out exactly at the bound counts, one second later does not; slices do not split 11:59 from 12:01.
+    assert rows(got, "person") == [(2,), (3,)]
+
+
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, ROCKSDB)
+    yield
+    spark.conf.unset(key)
+
+
+def stays(spark, parts, timeout=timedelta(hours=8)):
+    box = Inbox(spark)
+    for part in parts:
+        box.put(make_punches(spark, part))
+    got = drain(live_state(box.stream(), timeout, timedelta(days=2)), "stays")
+    return wall(got, "person", "in_ts", "out_ts", "closed_by")
+
+
+def test_stays_close_by_punch_or_timer(spark, rocksdb):
+    first = [(1, at(1, 9)), (2, at(1, 9)), (3, at(1, 9))]
+    second = [(1, at(1, 17)), (2, at(1, 17, 0, 1)), (2, at(1, 18))]
+    last = [(9, at(9))]
+    got = stays(spark, [first, second, last])
+    assert got == [
+        (1, at(1, 9), at(1, 17), "punch"),
+        (2, at(1, 17, 0, 1), at(1, 18), "punch"),
+        (2, at(1, 9), at(1, 17), "timeout"),
+        (3, at(1, 9), at(1, 17), "timeout"),
+    ]
+    # Neither the order of arrival nor the cut into batches matters.
+    assert stays(spark, [second, first, last]) == got
+    assert stays(spark, [second + first + last]) == got
