@@ -29,8 +29,12 @@ def whole_minutes(start: Column, end: Column) -> Column:
 
 
 def workday(ts: Column, cutoff: timedelta = timedelta(0)) -> Column:
-    """Date a punch counts to; before ``cutoff`` it is still the day before."""
-    return (ts - F.lit(cutoff)).cast("date")
+    """Date a punch counts to; before ``cutoff`` it is still the day before.
+
+    Without a cutoff it is a bare cast, which a filter on the day can see through
+    on its way to the scan.
+    """
+    return (ts - F.lit(cutoff) if cutoff else ts).cast("date")
 
 
 def minute_of_day(ts: Column) -> Column:

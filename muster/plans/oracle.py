@@ -173,7 +173,7 @@ FROM p LEFT JOIN org ON org.person = p.person""",
     "s05_live_unmatched": _with(PUNCH) + ",\n" + """mark AS (
   SELECT least(max(ts) FILTER (WHERE kind = 'signup'), max(ts) FILTER (WHERE kind = 'purchase')) - INTERVAL 10 MINUTE AS wm
   FROM p)
-SELECT punch_id, person, ts FROM p i WHERE kind = 'signup' AND ts + INTERVAL 12 HOUR < (SELECT wm FROM mark)
+SELECT punch_id, person, ts FROM p i WHERE kind = 'signup' AND ts + INTERVAL 13 HOUR < (SELECT wm FROM mark)
   AND NOT EXISTS (SELECT 1 FROM p o WHERE o.kind = 'purchase' AND o.person = i.person
                   AND o.ts > i.ts AND o.ts <= i.ts + INTERVAL 12 HOUR)""",
     "s06_late_punches": _with(PUNCH) + """SELECT punch_id, person, ts FROM p

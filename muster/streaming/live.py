@@ -57,31 +57,47 @@ def live_enrich(stream: DataFrame, roster: DataFrame) -> DataFrame:
     return stream.join(roster, "person", "left")
 
 
-def live_unmatched(ins: DataFrame, outs: DataFrame, within: timedelta, lateness: timedelta) -> DataFrame:
+def live_unmatched(
+    ins: DataFrame, outs: DataFrame, within: timedelta, lateness: timedelta, slices: int = 12
+) -> DataFrame:
     """Check-ins that no check-out of the person followed within ``within``.
 
-    Both sides are also keyed by ``within``-wide time slices, a check-out under
-    its own slice and the one before, so a busy person's state is spread over
-    partitions and a check-in is compared only with its own and the next slice.
-    The time bounds let the watermark drop both sides from state.
+    ``within`` is cut into ``slices`` of whole seconds. Of the check-outs in one
+    slice of time only the first and the last matter: the last one tells whether
+    any follows a check-in of the same slice, the first one whether any falls in a
+    later slice before the bound is over. So check-outs are reduced to one row per
+    person and slice, and a check-in meets at most ``slices + 1`` rows, however
+    many check-outs there are. The answer comes one slice after the bound.
     """
-    width = int(within.total_seconds())
+    width = int(within.total_seconds()) // slices
+    if width * slices != within.total_seconds():
+        raise ValueError("within must be a whole number of seconds per slice")
     delay = seconds(lateness)
-    slice_of = F.call_function("div", F.unix_seconds("ts"), F.lit(width))
-    ins = ins.withColumn("_slice", slice_of).withWatermark("ts", delay)
-    outs = (
-        outs.select(
+
+    def slice_of(ts):
+        return F.call_function("div", F.unix_seconds(ts), F.lit(width))
+
+    ins = ins.withWatermark("ts", delay).withColumn("_slice", slice_of(F.col("ts")))
+    bounds = (
+        outs.withWatermark("ts", delay)
+        .groupBy("person", F.window("ts", f"{width} seconds").alias("_w"))
+        .agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+        .select(
             F.col("person").alias("_person"),
-            F.col("ts").alias("_out"),
-            F.explode(F.array(slice_of, slice_of - 1)).alias("_out_slice"),
+            F.window_time("_w").alias("_time"),
+            "_first",
+            "_last",
+            slice_of(F.col("_w.start")).alias("_out_slice"),
+            F.explode(F.sequence(F.lit(0), F.lit(slices))).alias("_back"),
         )
-        .withWatermark("_out", delay)
     )
+    end = F.col("ts") + F.expr(f"INTERVAL {width * slices} SECONDS")
     match = (
         (F.col("person") == F.col("_person"))
-        & (F.col("_slice") == F.col("_out_slice"))
-        & (F.col("_out") > F.col("ts"))
-        & (F.col("_out") <= F.col("ts") + F.expr(f"INTERVAL {width} SECONDS"))
+        & (F.col("_slice") == F.col("_out_slice") - F.col("_back"))
+        & F.when(F.col("_back") == 0, F.col("_last") > F.col("ts")).otherwise(F.col("_first") <= end)
+        & (F.col("_time") >= F.col("ts"))
+        & (F.col("_time") <= F.col("ts") + F.expr(f"INTERVAL {width * (slices + 1)} SECONDS"))
     )
-    joined = ins.join(outs, match, "leftOuter")
-    return joined.filter(F.col("_out").isNull()).drop("_slice", "_person", "_out", "_out_slice")
+    joined = ins.join(bounds, match, "leftOuter")
+    return joined.filter(F.col("_person").isNull()).select([c for c in ins.columns if c != "_slice"])

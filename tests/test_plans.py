@@ -10,6 +10,7 @@ from helpers import final_plan
 from muster.functions.site import classify
 from muster.operators import absence, daily, reports
 from muster.plans import batch
+from muster.plans.views import create_views
 from muster.sources import tables
 
 
@@ -56,3 +57,15 @@ def test_percentile_sees_minutes_not_punches(spark, folder):
 def test_rules_in_python_run_on_arrow_batches(spark):
     df = spark.range(8).select(classify(F.col("id"), lambda s: s, "long").alias("x"))
     assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_views_serve_sql_and_push_filters_down(spark, folder):
+    assert "daily" in create_views(spark, folder)
+    report = spark.sql(
+        """SELECT cohort, count(*) AS days, sum(minutes) AS minutes
+           FROM worked JOIN roster USING (person) WHERE day = DATE '2024-01-03' GROUP BY cohort"""
+    )
+    plan = final_plan(report)
+    assert "GreaterThanOrEqual(ts,2024-01-03T00:00)" in plan and "LessThan(ts,2024-01-04T00:00)" in plan
+    want = batch.QUERIES["a11_worked_minutes"](spark, folder).filter("day = DATE '2024-01-03'")
+    assert sum(r.days for r in report.collect()) == want.count()
