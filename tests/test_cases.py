@@ -250,6 +250,25 @@ def test_policy_sees_whole_groups_of_one_person(spark):
         apply_policy(records.drop("day"), ["person"], longest, records.schema)
 
 
+def test_policy_groups_are_whole_across_batches(spark):
+    def size(group: pd.DataFrame) -> pd.DataFrame:
+        assert group["person"].nunique(dropna=False) == 1
+        return pd.DataFrame({"person": group["person"].iloc[:1], "n": [len(group)], "last": [group["day"].max()]})
+
+    person = F.when(F.col("id") < 40, F.lit(None)).otherwise((F.col("id") / 37).cast("long"))
+    records = spark.range(2000).select(
+        person.alias("person"), F.date_add(F.lit(d(1)), (F.col("id") % 37).cast("int")).alias("day")
+    )
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10")
+    try:
+        got = apply_policy(records, ["person"], size, "person long, n long, last date")
+        want = records.groupBy("person").agg(F.count("*").alias("n"), F.max("day").alias("last"))
+        assert rows(got) == rows(want)
+    finally:
+        spark.conf.unset(key)
+
+
 def test_classify_is_vectorised(spark):
     got = spark.range(4).select(classify("id", lambda s: s * 2, "long").alias("x"))
     assert rows(got) == [(0,), (2,), (4,), (6,)]
