@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from muster.operators.daily import daily_attendance
 from muster.plans.batch import SESSION_GAP
-from muster.session import scratch
+from muster.session import ROCKSDB, scratch
 from muster.sources.register import read_register, write_register
 from muster.sources.streams import drain, punch_stream
 from muster.sources.tables import organisation, roster, table
@@ -30,11 +30,10 @@ OUT_WITHIN = timedelta(hours=12)
 STAY_TIMEOUT = timedelta(hours=8)
 DELIVERY_DAY = date(2024, 1, 16)
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return punch_stream(spark, folder, pathGlobFilter="events.parquet")
+    """The events as a stream, whether the table is one file or a folder of files."""
+    return punch_stream(spark, f"{folder}/events.parquet*")
 
 
 def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Keeps the state of streams on local disk with checkpoints, not in the heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 SETTINGS = {
     # Wall-clock times are compared across files and streams: one fixed zone.
     "spark.sql.session.timeZone": "UTC",
@@ -16,6 +19,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     # Closes sessions map-side before the shuffle in streaming session windows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

@@ -28,13 +28,19 @@ def live_counts(stream: DataFrame, width: timedelta, lateness: timedelta) -> Dat
     )
 
 
-def live_dedup(stream: DataFrame, lateness: timedelta) -> DataFrame:
+def live_dedup(stream: DataFrame, lateness: timedelta, salts: int = 1) -> DataFrame:
     """Each punch id once, when its copies arrive within ``lateness``.
 
     State is kept per punch id and dropped by the watermark, so it is bounded by
-    the punches of that span.
+    the punches of that span. All copies of an id meet in one task. Where one id
+    may be sent very often, ``salts`` above 1 first drops copies in that many
+    tasks, so that at most one copy per salt meets; it doubles the state.
     """
-    return stream.withWatermark("ts", seconds(lateness)).dropDuplicatesWithinWatermark(["punch_id"])
+    rows = stream.withWatermark("ts", seconds(lateness))
+    if salts > 1:
+        salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        rows = salted.dropDuplicatesWithinWatermark(["punch_id", "_salt"]).drop("_salt")
+    return rows.dropDuplicatesWithinWatermark(["punch_id"])
 
 
 def live_sessions(stream: DataFrame, gap: timedelta, lateness: timedelta) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helpers import at, d, make_punches, rows
 from muster.operators import timeline
 from muster.operators.daily import daily_attendance
-from muster.plans.streams import ROCKSDB
+from muster.plans.streams import QUERIES
 from muster.session import scratch
 from muster.sources.register import read_register, write_register
 from muster.sources.streams import drain, event_time
@@ -84,10 +84,13 @@ def test_late_days_are_settled_and_others_stay(spark, inbox):
     ]
 
 
-def test_copies_are_dropped_across_batches(spark, inbox):
+@pytest.mark.parametrize("salts", [1, 4])
+def test_copies_are_dropped_across_batches(spark, inbox, salts):
     punches = make_punches(spark, [(1, at(1, 9)), (2, at(1, 9, 5))])
-    inbox.put(punches).put(punches).put(make_punches(spark, [(1, at(1, 9))]).withColumn("punch_id", F.lit(9).cast("long")))
-    assert rows(drain(live.live_dedup(inbox.stream(), LATENESS), "dedup"), "punch_id") == [(1,), (2,), (9,)]
+    many = punches.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("c")
+    inbox.put(many).put(punches).put(make_punches(spark, [(1, at(1, 9))]).withColumn("punch_id", F.lit(9).cast("long")))
+    got = drain(live.live_dedup(inbox.stream().repartition(3), LATENESS, salts), "dedup")
+    assert rows(got, "punch_id") == [(1,), (2,), (9,)]
 
 
 def test_sessions_grow_across_batches(spark, inbox):
@@ -118,14 +121,6 @@ def test_unmatched_waits_for_the_bound(spark):
     assert rows(got, "person") == [(2,), (3,)]
 
 
-@pytest.fixture
-def rocksdb(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, ROCKSDB)
-    yield
-    spark.conf.unset(key)
-
-
 def stays(spark, parts, timeout=timedelta(hours=8)):
     box = Inbox(spark)
     for part in parts:
@@ -134,7 +129,7 @@ def stays(spark, parts, timeout=timedelta(hours=8)):
     return wall(got, "person", "in_ts", "out_ts", "closed_by")
 
 
-def test_stays_close_by_punch_or_timer(spark, rocksdb):
+def test_stays_close_by_punch_or_timer(spark):
     first = [(1, at(1, 9)), (2, at(1, 9)), (3, at(1, 9))]
     second = [(1, at(1, 17)), (2, at(1, 17, 0, 1)), (2, at(1, 18))]
     last = [(9, at(9))]
@@ -148,3 +143,11 @@ def test_stays_close_by_punch_or_timer(spark, rocksdb):
     # Neither the order of arrival nor the cut into batches matters.
     assert stays(spark, [second, first, last]) == got
     assert stays(spark, [second + first + last]) == got
+
+
+def test_events_may_be_a_file_or_a_folder(spark, folder):
+    copy = scratch(spark, "tables")
+    spark.read.parquet(f"{folder}/events.parquet").repartition(3).write.parquet(f"{copy}/events.parquet")
+    streamed = QUERIES["s01_live_counts"]
+    got = rows(streamed(spark, copy))
+    assert got and got == rows(streamed(spark, folder))
