@@ -53,7 +53,10 @@ def _pair_instants(rows: DataFrame) -> DataFrame:
         ranked.withColumn("m", F.explode(marks))
         .filter("m.use")
         .groupBy(*GROUP, "m.pair")
-        .agg(F.max(F.when(F.col("m.is_in"), F.col("ts"))).alias("in_ts"), F.max(F.when(~F.col("m.is_in"), F.col("ts"))).alias("out_ts"))
+        .agg(
+            F.max(F.when(F.col("m.is_in"), F.col("ts"))).alias("in_ts"),
+            F.max(F.when(~F.col("m.is_in"), F.col("ts"))).alias("out_ts"),
+        )
         .drop("pair")
     )
     inside = F.call_function("div", F.col("n") - closes - opens, F.lit(2))
@@ -82,5 +85,5 @@ def worked_minutes(intervals: DataFrame) -> DataFrame:
 
 def overtime(worked: DataFrame, threshold: int) -> DataFrame:
     """Minutes above ``threshold`` of each person-day that has any."""
-    total = worked.groupBy(*GROUP).agg(F.sum("minutes").alias("minutes")).filter(F.col("minutes") > threshold)
-    return total.withColumn("overtime", F.col("minutes") - threshold)
+    over = worked.filter(F.col("minutes") > threshold)
+    return over.select(*GROUP, "minutes", (F.col("minutes") - threshold).alias("overtime"))

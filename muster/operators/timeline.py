@@ -74,7 +74,9 @@ def _moves(rows: DataFrame, within: timedelta) -> DataFrame:
     instants = rows.groupBy("person", "ts").agg(F.count(F.lit(1)).alias("n"))
     moves = F.array(
         F.struct(F.col("ts"), F.lit(True).alias("is_punch"), F.col("n").alias("change")),
-        F.struct((F.col("ts") + F.lit(within)).alias("ts"), F.lit(False).alias("is_punch"), (-F.col("n")).alias("change")),
+        F.struct(
+            (F.col("ts") + F.lit(within)).alias("ts"), F.lit(False).alias("is_punch"), (-F.col("n")).alias("change")
+        ),
     )
     return instants.select("person", F.inline(moves))
 

@@ -259,7 +259,8 @@ def day_length(spark: SparkSession, folder: str) -> DataFrame:
     """A site rule on one column: name the length of a worked day."""
 
     def name(minutes: pd.Series) -> pd.Series:
-        return pd.Series(np.select([minutes < 240, minutes <= FULL_DAY], ["short", "full"], "long"), index=minutes.index)
+        names = np.select([minutes < 240, minutes <= FULL_DAY], ["short", "full"], "long")
+        return pd.Series(names, index=minutes.index)
 
     return _worked(spark, folder).select("person", "day", "minutes", classify(F.col("minutes"), name).alias("length"))
 

@@ -31,9 +31,7 @@ def read_punches(
     reader = spark.read.schema(declared).options(**options)
     if text:
         # Without pruning a row is judged on all its fields, whatever is selected later.
-        reader = (
-            reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", "false")
-        )
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning="false")
     rows = reader.format(format).load(path)
     if not text:
         rows = rows.withColumn(CORRUPT, F.lit(None).cast("string"))

@@ -22,34 +22,34 @@ def late_punches(stream: DataFrame, store: str, lateness: timedelta) -> Streamin
     """Store every punch with a flag ``late`` under ``store``, all input there is now.
 
     A punch is late when its time is more than ``lateness`` before the latest
-    time of all earlier batches. Each batch writes folders of its own and reads
-    only marks of earlier ones, so a batch that is repeated after a failure gives
-    the same result.
+    time of all earlier batches.
     """
-    spark = stream.sparkSession
-    spark.range(1).select(F.lit(None).cast("timestamp").alias("mark")).write.mode("overwrite").parquet(
-        f"{store}/marks/batch=-1"
-    )
-
-    def route(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        marks = session.read.parquet(f"{store}/marks").filter(F.col("batch") < batch_id)
-        mark = marks.agg(F.max("mark")).scalar()
-        late = F.coalesce(F.col("ts") < mark - F.lit(lateness), F.lit(False))
-        flagged = with_day(batch).withColumn("late", late)
-        own = f"{store}/punches/batch={batch_id}"
-        flagged.hint("rebalance", "late", "day").write.mode("overwrite").partitionBy("late", "day").parquet(own)
-        newest = session.read.schema(flagged.schema).parquet(own).agg(F.max("ts").alias("mark"))
-        newest.write.mode("overwrite").parquet(f"{store}/marks/batch={batch_id}")
-
+    first = stream.sparkSession.range(1).select(F.lit(None).cast("timestamp").alias("mark"))
+    first.write.mode("overwrite").parquet(f"{store}/marks/batch=-1")
     return (
-        stream.writeStream.foreachBatch(route)
+        stream.writeStream.foreachBatch(lambda batch, batch_id: route_batch(batch, batch_id, store, lateness))
         .option("checkpointLocation", f"{store}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
 
 
+def route_batch(batch: DataFrame, batch_id: int, store: str, lateness: timedelta) -> None:
+    """Write one batch to folders of its own, reading only marks of earlier ones.
+
+    A batch that is repeated after a failure therefore gives the same result.
+    """
+    spark = batch.sparkSession
+    marks = spark.read.parquet(f"{store}/marks").filter(F.col("batch") < batch_id)
+    mark = marks.agg(F.max("mark")).scalar()
+    late = F.coalesce(F.col("ts") < mark - F.lit(lateness), F.lit(False))
+    flagged = with_day(batch).withColumn("late", late)
+    own = f"{store}/punches/batch={batch_id}"
+    flagged.hint("rebalance", "late", "day").write.mode("overwrite").partitionBy("late", "day").parquet(own)
+    newest = spark.read.schema(flagged.schema).parquet(own).agg(F.max("ts").alias("mark"))
+    newest.write.mode("overwrite").parquet(f"{store}/marks/batch={batch_id}")
+
+
 def stored_punches(spark: SparkSession, store: str) -> DataFrame:
     rows = spark.read.parquet(f"{store}/punches")
     return rows.withColumn("late", F.col("late").cast("boolean"))

@@ -272,3 +272,18 @@ def test_policy_groups_are_whole_across_batches(spark):
 def test_classify_is_vectorised(spark):
     got = spark.range(4).select(classify("id", lambda s: s * 2, "long").alias("x"))
     assert rows(got) == [(0,), (2,), (4,), (6,)]
+
+
+def test_operators_also_take_timestamps_with_zone(spark):
+    local = make_punches(spark, [(1, at(1, 9)), (1, at(1, 9, 3)), (1, at(1, 17)), (2, at(1, 8))])
+    zoned = local.withColumn("ts", F.col("ts").cast("timestamp"))
+    for hot_rows in (0, 100):
+        for build in (
+            lambda p: intervals.worked_minutes(intervals.pair_punches(p, hot_rows)),
+            lambda p: cleaning.drop_repeats(p, timedelta(minutes=5), hot_rows).select("punch_id"),
+            lambda p: timeline.presence_sessions(p, timedelta(hours=2), hot_rows).select("person", "punches"),
+            lambda p: timeline.close_punches(p, timedelta(minutes=5), hot_rows).select("person", "pairs"),
+            lambda p: occupancy.occupancy(intervals.pair_punches(p, hot_rows)).select("came", "left", "present"),
+            lambda p: occupancy.occupancy_by_hour(daily.daily_attendance(p)).select("people"),
+        ):
+            assert rows(build(zoned)) == rows(build(local))

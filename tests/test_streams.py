@@ -15,7 +15,7 @@ from muster.session import scratch
 from muster.sources.register import read_register, write_register
 from muster.sources.streams import drain, event_time
 from muster.streaming import live
-from muster.streaming.late import late_punches, settle_late, stored_punches
+from muster.streaming.late import late_punches, route_batch, settle_late, stored_punches
 from muster.streaming.presence import live_state
 
 LATENESS = timedelta(minutes=10)
@@ -84,6 +84,16 @@ def test_late_days_are_settled_and_others_stay(spark, inbox):
     ]
 
 
+def test_a_repeated_batch_changes_nothing(spark, inbox):
+    inbox.put(make_punches(spark, [(1, at(1, 9)), (1, at(1, 12))]))
+    store = scratch(spark, "store")
+    late_punches(inbox.stream(), store, LATENESS).awaitTermination()
+    again = event_time(make_punches(spark, [(2, at(1, 10)), (2, at(2, 9))]).withColumn("punch_id", F.col("punch_id") + 50))
+    for _ in range(2):
+        route_batch(again, 1, store, LATENESS)
+    assert rows(stored_punches(spark, store), "punch_id", "late") == [(1, False), (2, False), (51, True), (52, False)]
+
+
 @pytest.mark.parametrize("salts", [1, 4])
 def test_copies_are_dropped_across_batches(spark, inbox, salts):
     punches = make_punches(spark, [(1, at(1, 9)), (2, at(1, 9, 5))])
