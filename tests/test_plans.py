@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from datetime import timedelta
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from helpers import final_plan
-from muster.functions.site import classify
+from muster.functions.site import classify, group_starts
 from muster.operators import absence, daily, reports
 from muster.plans import batch
 from muster.plans.views import create_views
 from muster.sources import tables
+from muster.streaming.presence import Stays
 
 
 @pytest.mark.parametrize("name", [n for n in sorted(batch.QUERIES) if n[:3] not in ("a01", "a02")])
@@ -69,3 +76,14 @@ def test_views_serve_sql_and_push_filters_down(spark, folder):
     assert "GreaterThanOrEqual(ts,2024-01-03T00:00)" in plan and "LessThan(ts,2024-01-04T00:00)" in plan
     want = batch.QUERIES["a11_worked_minutes"](spark, folder).filter("day = DATE '2024-01-03'")
     assert sum(r.days for r in report.collect()) == want.count()
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    shipped = tmp_path / "shipped"
+    shipped.write_bytes(cloudpickle.dumps((Stays(timedelta(hours=1)), group_starts)))
+    load = "import pickle, sys; print(type(pickle.load(open(sys.argv[1], 'rb'))[0]).__name__, 'muster' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", load, str(shipped)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60
+    )
+    assert done.stdout.split() == ["Stays", "False"], done.stderr
