@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import block_ann, label_shards, line_spread
+from muster.llm import block_ann, label_shards, line_spread, packing
 from muster.llm.common import table
 
 
@@ -30,8 +30,13 @@ def balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_spread": line_dedup,
+    "op4_mixture_packing": mixture_packing,
     "op6_block_matrix_ann": block_matrix_ann,
     "op7_balanced_shards": balanced_shards,
 }
