@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import block_ann, label_shards, line_spread, packing
+from muster.llm import block_ann, label_shards, line_spread, packing, sentencepieces
 from muster.llm.common import table
 
 
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"))
+    plain = F.regexp_replace(F.translate("normal", sentencepieces.MARK, " "), "^ ", "")
+    return sentencepieces.decode(encoded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", "n_unknown", "n_byte", "n_mismatched",
+        (F.col("decoded") == plain).alias("round_trip"),
+    )
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = line_spread.remove_spread_lines(docs)
@@ -35,6 +44,7 @@ def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": sentencepiece_round_trip,
     "op2_line_spread": line_dedup,
     "op4_mixture_packing": mixture_packing,
     "op6_block_matrix_ann": block_matrix_ann,
