@@ -31,6 +31,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from muster.llm.chunks import ChunkCache
@@ -274,5 +275,5 @@ def decode(encoded: DataFrame, path: str | None = None, column: str = "ids") ->
     """``encoded`` with the text of its ids as ``decoded``; null ids have none."""
     with open(path or model_file(), "rb") as f:
         raw = encoded.sparkSession.sparkContext.broadcast(f.read())
-    schema = encoded.schema.add("decoded", "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     return encoded.mapInArrow(lambda b: _decode(b, raw.value, column), schema)
