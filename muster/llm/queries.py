@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import block_ann, label_shards, line_spread, packing, sentencepieces
+from muster.llm import block_ann, label_shards, line_spread, mixture_lang, packing, perplexity, sentencepieces
 from muster.llm.common import table
 
 
@@ -27,6 +27,23 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), digest.alias("kept_sha256"))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 4 == 2
+
+
+def mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixture_lang.learn(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
+    found = mixture_lang.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.rate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_ppl", "lower", "upper"
+    )
+
+
 def block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return block_ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -46,7 +63,9 @@ def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_round_trip,
     "op2_line_spread": line_dedup,
+    "op3_mixture_language": mixture_language,
     "op4_mixture_packing": mixture_packing,
+    "op5_ngram_perplexity": ngram_perplexity,
     "op6_block_matrix_ann": block_matrix_ann,
     "op7_balanced_shards": balanced_shards,
 }
