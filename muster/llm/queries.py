@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import block_ann, label_shards, line_spread, mixture_lang, packing, perplexity, sentencepieces
+from muster.llm import block_ann, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, sentencepieces
 from muster.llm.common import table
 
 
@@ -49,6 +49,10 @@ def block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = label_shards.balanced_shards(table(spark, sf_dir, "documents"))
     return out.select(
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_perplexity": ngram_perplexity,
     "op6_block_matrix_ann": block_matrix_ann,
     "op7_balanced_shards": balanced_shards,
+    "op9_jaccard_join": jaccard_join,
 }
 
 SQL: dict[str, str] = {
