@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import block_ann, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, sentencepieces
+from muster.llm import block_ann, disclosure, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, sentencepieces
 from muster.llm.common import table
 
 
@@ -49,6 +49,14 @@ def block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def disclosure_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda i: F.size(F.filter("base_spans", lambda s: s.kind == i)).cast("long")
+    count = {f"n_{k}": of(i) for i, k in enumerate(disclosure.KINDS)}
+    base = F.sha2(F.encode(disclosure.spans_text(F.col("base_spans")), "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", *[c.alias(n) for n, c in count.items()], base, disclosure.spans_text(F.col("all_spans")).alias("spans"))
+
+
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -72,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_perplexity": ngram_perplexity,
     "op6_block_matrix_ann": block_matrix_ann,
     "op7_balanced_shards": balanced_shards,
+    "op8_disclosure": disclosure_control,
     "op9_jaccard_join": jaccard_join,
 }
 
