@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -38,10 +39,13 @@ class ChunkCache:
         self.flat = self.flat[np.repeat(self.start[kept] - first, size) + np.arange(int(size.sum()))]
         self.start, self.size, self.uses = first, size, np.zeros(len(kept), np.int64)
 
+    def _places(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+
     def _learn(self, chunks: list[str]) -> None:
         found = self.encode(chunks)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         base = len(self.flat)
         self.place.update(zip(chunks, range(len(self.size), len(self.size) + len(chunks))))
         self.start = np.concatenate([self.start, base + np.cumsum(size) - size])
@@ -53,13 +57,17 @@ class ChunkCache:
         """All ids in one array, the ids' count of each text, the chunks and their count per text."""
         per_text = [self.find(t) for t in texts]
         chunks = [c for found in per_text for c in found]
-        distinct = dict.fromkeys(chunks)
-        if len(self.place) + len(distinct) > self.limit:
-            self._shrink()
-        new = [c for c in distinct if c not in self.place]
-        if new:
+        at = self._places(chunks)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(chunks[i] for i in missing.tolist()))
+            if len(self.place) + len(new) > self.limit:
+                self._shrink()
+                at = self._places(chunks)
+                missing = np.flatnonzero(at < 0)
+                new = list(dict.fromkeys(chunks[i] for i in missing.tolist()))
             self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+            at[missing] = self._places([chunks[i] for i in missing.tolist()])
         self.uses += np.bincount(at, minlength=len(self.uses))
         size = self.size[at]
         total = np.concatenate([[0], np.cumsum(size)])

@@ -33,7 +33,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from muster.llm.chunks import ChunkCache
 from muster.llm.common import blocks, texts, written
@@ -54,8 +54,11 @@ def tokenizer_file() -> str:
 
 # ---- tokens -----------------------------------------------------------------
 
-# Letters whose lower case is one letter, then stops: the tokenizer parts them at the last letter.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# A word of letters with one-letter lower cases, the stops that end its chunk, or any other chunk:
+# the tokenizer, too, parts words and stops there.
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+CHUNKS = rf"(?<![^ \n\t\r]){LETTERS}++(?=[.,;:!?]*(?:[ \n\t\r]|\Z))|(?<={LETTERS})[.,;:!?]+(?=[ \n\t\r]|\Z)|[^ \n\t\r]+"
+WORD = re.compile(f"{LETTERS}+")
 
 
 class WordEncoder:
@@ -68,27 +71,32 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, Sequence[int]] = {}
-
-    def _words(self, words: list[str]) -> None:
+        # The same model without what leaves lower-case letters as they are.
+        self.letters = Tokenizer.from_str(model)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+
+    def _words(self, words: list[str]) -> dict[str, Sequence[int]]:
         """Letters only: many in one text, cut again at the word ends."""
+        out: dict[str, Sequence[int]] = {}
         for lo in range(0, len(words), 512):
             some = words[lo : lo + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                self.words.update(zip(some, (x.tolist() for x in np.split(ids, cuts[:-1]))))
+            ids = self.letters.encode(" ".join(some), add_special_tokens=False).ids
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cuts) == len(some) + 1:
+                out.update(zip(some, map(ids.__getitem__, map(slice, cuts, cuts[1:]))))
             else:
-                self.words.update((w, e.ids) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
+                out.update((w, e.ids) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
+        return out
 
     def __call__(self, chunks: Sequence[str]) -> list[Sequence[int]]:
-        self.words = {}
-        plain = [PLAIN.fullmatch(c) for c in chunks]
-        split = [(m[1].lower() if m[1].isascii() else m[1], m[2]) if m else None for m in plain]
-        self._words(list(dict.fromkeys(s[0] for s in split if s)))
-        whole = [c for c, s in zip(chunks, split) if not s] + list(dict.fromkeys(s[1] for s in split if s and s[1]))
-        rest = dict(zip(whole, (e.ids for e in self.tokenizer.encode_batch(whole, add_special_tokens=False))))
-        return [rest[c] if not s else (self.words[s[0]] + rest[s[1]] if s[1] else self.words[s[0]]) for c, s in zip(chunks, split)]
+        lower = {c: c.lower() for c in chunks if WORD.fullmatch(c)}
+        words = self._words(list(dict.fromkeys(lower.values())))
+        rest = [c for c in chunks if c not in lower]
+        other = dict(zip(rest, (e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False))))
+        return [words[lower[c]] if c in lower else other[c] for c in chunks]
 
 
 WORKER: dict[tuple, ChunkCache] = {}
@@ -98,7 +106,7 @@ def _cache(model: str) -> ChunkCache:
     """One cache per Python worker and model; it outlives a task."""
     key = ("word", hash(model))
     if key not in WORKER:
-        WORKER[key] = ChunkCache(WordEncoder(model), r"[^ \n\t\r]+")
+        WORKER[key] = ChunkCache(WordEncoder(model), CHUNKS)
     return WORKER[key]
 
 
