@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import block_ann, disclosure, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, sentencepieces
+from muster.llm import block_ann, disclosure, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, recompression, sentencepieces
 from muster.llm.common import table
 
 
@@ -72,6 +72,11 @@ def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = recompression.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_round_trip,
     "op2_line_spread": line_dedup,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_balanced_shards": balanced_shards,
     "op8_disclosure": disclosure_control,
     "op9_jaccard_join": jaccard_join,
+    "op10_recompression": recompression_dedup,
 }
 
 SQL: dict[str, str] = {
