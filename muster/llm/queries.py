@@ -12,12 +12,7 @@ from muster.llm.common import table
 
 
 def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"))
-    plain = F.regexp_replace(F.translate("normal", sentencepieces.MARK, " "), "^ ", "")
-    return sentencepieces.decode(encoded).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", "n_unknown", "n_byte", "n_mismatched",
-        (F.col("decoded") == plain).alias("round_trip"),
-    )
+    return sentencepieces.verify(table(spark, sf_dir, "documents"))
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,11 @@ MARK = "▁"
 # Fixed values of the public model format: kinds of pieces and models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+# Chunks kept per Python worker, next to the two libraries' own tables.
+CACHED = 300_000
 
 ENCODED = "doc_id long, ids array<int>, ids_crc32 long, n_unknown long, n_byte long, n_mismatched long, normal string"
+VERIFIED = "doc_id long, n_tokens long, ids_crc32 long, n_unknown long, n_byte long, n_mismatched long, round_trip boolean"
 
 
 def model_file() -> str:
@@ -188,11 +191,8 @@ class Codec:
         kinds = np.array([k for _, _, k in self.model.pieces])
         self.unknown, self.bytes = kinds == UNKNOWN, kinds == BYTE
         whole = not self.model.mark_spaces or any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in self.model.pieces)
-        self.cache = ChunkCache(self._encode, r"(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.cache = ChunkCache(self._encode, r"(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+", CACHED)
         self.wrong: set[str] = set()
-        # What decoding gives for each id.
-        byte = lambda p: bytes([int(p[1:-1], 16)])
-        self.out = [byte(p) if k == BYTE else b"" if k == CONTROL else (" ⁇ " if k == UNKNOWN else p.replace(MARK, " ")).encode() for p, _, k in self.model.pieces]
 
     def _encode(self, chunks: Sequence[str]) -> list[Sequence[int]]:
         found = [e.ids for e in self.tokenizer.encode_batch(list(chunks), add_special_tokens=False)]
@@ -221,9 +221,22 @@ class Codec:
         at = np.concatenate([[0], np.cumsum(per_text)])
         return normal, flat, counts, (ends[at[1:]] - ends[at[:-1]]).tolist()
 
+
+class Decoder:
+    """The bytes of every id; light, since decoding runs beside an encoder."""
+
+    def __init__(self, raw: bytes):
+        model = read_model(raw)
+        byte = lambda p: bytes([int(p[1:-1], 16)])
+        self.prefix = model.dummy_prefix
+        self.out = [
+            byte(p) if k == BYTE else b"" if k == CONTROL else (" ⁇ " if k == UNKNOWN else p.replace(MARK, " ")).encode()
+            for p, _, k in model.pieces
+        ]
+
     def decode(self, ids: Sequence[int]) -> str:
-        raw = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
-        return raw[1:] if self.model.dummy_prefix and raw[:1] == " " else raw
+        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if self.prefix and text[:1] == " " else text
 
 
 WORKER: dict[tuple, Codec] = {}
@@ -236,8 +249,8 @@ def codec(raw: bytes, threads: int = 1) -> Codec:
     return WORKER[key]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], raw: bytes, threads: int) -> Iterator[pa.RecordBatch]:
-    c = codec(raw, threads)
+def _encoded(batches: Iterator[pa.RecordBatch], c: Codec) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, dict[str, pa.Array]]]:
+    """Normalised texts, ids, their bounds and the counted columns of some texts at a time."""
     for batch in batches:
         _, offsets = texts(batch)
         for lo, hi in blocks(offsets):
@@ -247,19 +260,35 @@ def _encode(batches: Iterator[pa.RecordBatch], raw: bytes, threads: int) -> Iter
             data = flat.astype("<u4")
             crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
             seen = [np.concatenate([[0], np.cumsum(kind[flat])]) for kind in (c.unknown, c.bytes)]
-            seen = [s[at[1:]] - s[at[:-1]] for s in seen]
-            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            arrays = [some.column("doc_id"), ids, pa.array(crc, pa.int64()), *[pa.array(s.astype(np.int64)) for s in seen]]
-            arrays += [pa.array(wrong, pa.int64()), pa.array(normal, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "ids_crc32", "n_unknown", "n_byte", "n_mismatched", "normal"])
+            unknown, byte = (pa.array((s[at[1:]] - s[at[:-1]]).astype(np.int64)) for s in seen)
+            columns = {"ids_crc32": pa.array(crc, pa.int64()), "n_unknown": unknown, "n_byte": byte, "n_mismatched": pa.array(wrong, pa.int64())}
+            yield normal, flat, at, {"doc_id": some.column("doc_id"), **columns}
+
+
+def _encode(batches: Iterator[pa.RecordBatch], raw: bytes, threads: int) -> Iterator[pa.RecordBatch]:
+    for normal, flat, at, columns in _encoded(batches, codec(raw, threads)):
+        ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
+        columns = {"doc_id": columns.pop("doc_id"), "ids": ids, **columns, "normal": pa.array(normal, pa.string())}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], raw: bytes, threads: int) -> Iterator[pa.RecordBatch]:
+    decoder, c = Decoder(raw), codec(raw, threads)
+    mark = MARK if c.model.mark_spaces else " "
+    for normal, flat, at, columns in _encoded(batches, c):
+        same = [
+            decoder.decode(flat[a:b].tolist()) == t.replace(MARK, " ")[t[:1] == mark and c.model.dummy_prefix :]
+            for a, b, t in zip(at.tolist(), at[1:].tolist(), normal)
+        ]
+        columns = {"doc_id": columns.pop("doc_id"), "n_tokens": pa.array(np.diff(at)), **columns, "round_trip": pa.array(same)}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], raw: bytes, column: str) -> Iterator[pa.RecordBatch]:
-    c = codec(raw)
+    decoder = Decoder(raw)
     for batch in batches:
         ids = batch.column(column)
-        at, flat = ids.offsets.to_pylist(), ids.values.to_pylist()
-        decoded = [c.decode(flat[a:b]) if ok else None for a, b, ok in zip(at, at[1:], ids.is_valid().to_pylist())]
+        decoded = [decoder.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in ids]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], [*batch.schema.names, "decoded"])
 
 
@@ -277,3 +306,11 @@ def decode(encoded: DataFrame, path: str | None = None, column: str = "ids") ->
         raw = encoded.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     return encoded.mapInArrow(lambda b: _decode(b, raw.value, column), schema)
+
+
+def verify(docs: DataFrame, path: str | None = None, threads: int = 2) -> DataFrame:
+    """What encoding gives for each document, see ``VERIFIED``, and whether decoding gives the normalised text again."""
+    with open(path or model_file(), "rb") as f:
+        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(lambda b: _verify(b, raw.value, threads), VERIFIED)
