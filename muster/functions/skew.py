@@ -42,9 +42,11 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> t
     for depth in range(1, len(keys) + 1):
         key = list(keys[:depth])
         counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-        hot = F.broadcast(counts.filter(F.col("_n") > hot_rows).select(*key))
-        rows = df.join(hot, key, "left_semi")
-    return df.join(hot, key, "left_anti"), rows
+        # Null is a group like any other: rows without a person may be the largest one.
+        hot = F.broadcast(counts.filter(F.col("_n") > hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in key]))
+        same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in key]
+        rows = df.join(hot, same, "left_semi")
+    return df.join(hot, same, "left_anti"), rows
 
 
 def carry_before(

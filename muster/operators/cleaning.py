@@ -15,22 +15,26 @@ from muster.model import ATTRIBUTES_SCHEMA, HOT_ROWS
 
 
 def drop_repeats(punches: DataFrame, gap: timedelta, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Drop a punch less than ``gap`` after the same person's previous raw punch."""
+    """Drop a punch less than ``gap`` after the same person's previous raw punch.
+
+    A punch without a time is kept; it is before no other.
+    """
     few, many = split_hot(punches, ["person"], hot_rows)
     order = by_person("ts", "punch_id")
     kept = few.withColumn("_prev", F.lag("ts").over(order)).filter(_apart("_prev", "ts", gap)).drop("_prev")
 
     # In a bucket as wide as the gap only the first punch can be kept, so a large
     # person shrinks map-side to one row per bucket before being put in order.
-    row = F.struct("ts", "punch_id", *[c for c in punches.columns if c not in ("ts", "punch_id")])
+    row = F.min_by(F.struct(*punches.columns), F.struct("ts", "punch_id"))
     firsts = (
-        many.groupBy("person", bucket(F.col("ts"), gap).alias("_bucket"))
-        .agg(F.min(row).alias("_row"), F.max("ts").alias("_last"))
+        many.filter(F.col("ts").isNotNull())
+        .groupBy("person", bucket(F.col("ts"), gap).alias("_bucket"))
+        .agg(row.alias("_row"), F.max("ts").alias("_last"))
         .withColumn("_prev", F.lag("_last").over(by_person("_bucket")))
         .filter(_apart("_prev", "_row.ts", gap))
         .select("_row.*")
     )
-    return kept.unionByName(firsts)
+    return kept.unionByName(firsts).unionByName(many.filter(F.col("ts").isNull()))
 
 
 def _apart(before: str, after: str, gap: timedelta):
@@ -41,12 +45,15 @@ def apply_corrections(punches: DataFrame, corrections: DataFrame) -> DataFrame:
     """Latest version of each punch id wins; unknown ids are added.
 
     ``corrections`` has the columns of ``punches`` and a ``version``; a punch as
-    recorded is older than any correction. The newest correction per id is found
+    recorded is older than any correction. A correction without a version or an id
+    is ignored; of two with one version the later time, then the greater person
+    wins. The newest correction per id is found
     with a map-side combine, then replaces the recorded row through an anti join:
     when the corrections are small, which AQE measures, punches are not shuffled.
     """
     row = F.struct(*punches.columns)
-    latest = corrections.groupBy("punch_id").agg(F.max_by(row, "version").alias("_row")).select("_row.*")
+    usable = corrections.filter(F.col("version").isNotNull() & F.col("punch_id").isNotNull())
+    latest = usable.groupBy("punch_id").agg(F.max_by(row, F.struct("version", "ts", "person")).alias("_row")).select("_row.*")
     return punches.join(latest.select("punch_id"), "punch_id", "left_anti").unionByName(latest)
 
 

@@ -57,13 +57,15 @@ def org_cube(punches: DataFrame, people: DataFrame, dims: Sequence[str]) -> Data
 def register(punches: DataFrame, days: Sequence[date]) -> DataFrame:
     """One row per person with a 0/1 column ``d_YYYY_MM_DD`` for each day.
 
-    The days are given, so no extra job has to look for them, and other days
-    never enter the shuffle.
+    The days are given, so no extra job has to look for them, and punches of other
+    days never enter the shuffle. Persons who came on none of them have no row.
     """
+    if not days:
+        return punches.select("person").filter(F.lit(False))
     wide = (
         with_day(punches)
         .select("person", "day")
-        .filter(F.col("day").between(min(days), max(days)))
+        .filter(F.col("day").isin(list(days)))
         .groupBy("person")
         .pivot("day", list(days))
         .agg(F.lit(1))
@@ -104,6 +106,12 @@ def arrival_percentile(punches: DataFrame, p: float) -> DataFrame:
     return minutes.groupBy("person").agg(F.round(F.percentile("minute", p, F.col("n")), 6).alias("minute"))
 
 
+def sketch_check(punches: DataFrame, error: float = 0.05) -> DataFrame:
+    """Exact number of persons, and whether the sketch lies within four of its standard errors."""
+    counts = punches.agg(F.count_distinct("person").alias("people"), F.approx_count_distinct("person", error).alias("sketch"))
+    return counts.select("people", (F.abs(F.col("sketch") - F.col("people")) <= 4 * error * F.col("people")).alias("within"))
+
+
 def distinct_people(punches: DataFrame, exact: bool = True, error: float = 0.05) -> DataFrame:
     """Number of persons: exact, or a sketch with relative standard error ``error``."""
     people = F.count_distinct("person") if exact else F.approx_count_distinct("person", error)

@@ -82,12 +82,15 @@ def _moves(rows: DataFrame, within: timedelta) -> DataFrame:
 
 
 def last_before(punches: DataFrame, others: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """For each punch, the person's latest row of ``others`` at or before it."""
+    """For each punch, the person's latest row of ``others`` at or before it.
+
+    A row of ``others`` without a time comes before none, a punch without one has none.
+    """
     cols = ["person", "ts", "punch_id"]
     rows = (
         punches.select(*cols)
         .withColumn("is_other", F.lit(False))
-        .unionByName(others.select(*cols).withColumn("is_other", F.lit(True)))
+        .unionByName(others.select(*cols).filter(F.col("ts").isNotNull()).withColumn("is_other", F.lit(True)))
     )
     few, many = split_hot(rows, ["person"], hot_rows)
     found = F.when(F.col("is_other"), F.struct("ts", "punch_id"))
@@ -99,7 +102,9 @@ def last_before(punches: DataFrame, others: DataFrame, hot_rows: int = HOT_ROWS)
     answers = carry_before(instants, ["person"], "other", F.max, "earlier").select(
         "person", "ts", F.greatest("other", "earlier").alias("_last")
     )
-    sliced = many.filter(~F.col("is_other")).join(answers, ["person", "ts"])
+    answers = answers.select(F.col("person").alias("_p"), F.col("ts").alias("_t"), "_last")
+    same = F.col("person").eqNullSafe(F.col("_p")) & (F.col("ts") == F.col("_t"))
+    sliced = many.filter(~F.col("is_other")).join(answers, same, "left").drop("_p", "_t")
     return plain.unionByName(sliced).select(
         "punch_id",
         "person",

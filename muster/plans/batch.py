@@ -84,7 +84,7 @@ def read_malformed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rewrite_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Register of all days, then the days with error punches rewritten without them."""
+    """Register of all days, then all days from the second on rewritten without error punches."""
     path = scratch(spark, "register")
     write_register(_daily(spark, folder), path)
     clean = punches(spark, folder).filter((F.col("kind") != "error") & (F.to_date("ts") >= PERIOD_2))
@@ -200,6 +200,7 @@ def org_cube(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def register(spark: SparkSession, folder: str) -> DataFrame:
+    """The days are the operator's parameter; this entry asks for January 2024."""
     return reports.register(punches(spark, folder), MONTH)
 
 
@@ -231,11 +232,12 @@ def week_change(spark: SparkSession, folder: str) -> DataFrame:
     return daily.week_change(_daily(spark, folder))
 
 
-def distinct_people(exact: bool):
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        return reports.distinct_people(punches(spark, folder), exact)
+def distinct_people(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.distinct_people(punches(spark, folder))
 
-    return query
+
+def distinct_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.sketch_check(punches(spark, folder))
 
 
 # --- user functions -----------------------------------------------------------
@@ -302,8 +304,8 @@ QUERIES = {
     "a31_top_attendance": top_attendance,
     "a32_arrival_percentile": arrival_percentile,
     "a33_week_change": week_change,
-    "a34_distinct_people": distinct_people(exact=True),
-    "a34_distinct_people_sketch": distinct_people(exact=False),
+    "a34_distinct_people": distinct_people,
+    "a34_distinct_people_sketch": distinct_sketch,
     "u01_apply_policy": time_bank,
     "u02_classify": day_length,
 }

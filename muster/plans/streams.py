@@ -1,14 +1,16 @@
 """Finite runs of the streaming operators over the given events.
 
-Each function streams the whole events table through an operator until no input
-is left and returns the table it was written to. Event times are cast back to
-``timestamp_ntz``.
+Each function streams the whole events table through an operator, in several
+batches in order of time and with a closing record that lets the watermark pass all
+of them, and returns the table it was written to: the complete result. Event times
+are cast back to ``timestamp_ntz``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from muster.operators.daily import daily_attendance
 from muster.plans.batch import SESSION_GAP
 from muster.session import ROCKSDB, scratch
 from muster.sources.register import read_register, write_register
-from muster.sources.streams import drain, punch_stream
+from muster.sources.streams import drain_into, punch_stream
 from muster.sources.tables import organisation, roster, table
 from muster.streaming import live
 from muster.streaming.late import late_punches, settle_late, stored_punches
@@ -31,9 +33,9 @@ STAY_TIMEOUT = timedelta(hours=8)
 DELIVERY_DAY = date(2024, 1, 16)
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    """The events as a stream, whether the table is one file or a folder of files."""
-    return punch_stream(spark, f"{folder}/events.parquet*")
+WAVES = 5
+# The closing record: nobody's, long after all others, so that the watermark passes everything.
+CLOSING_ID, CLOSING_AFTER = -1, timedelta(days=60)
 
 
 def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
@@ -41,49 +43,105 @@ def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession):
+    """What streams need of a session, whoever made it: wall clock in UTC, state on disk, sessions merged early."""
+    needed = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    }
+    before = {key: spark.conf.get(key, None) for key in needed}
+    for key, value in needed.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def waves(spark: SparkSession, folder: str, closings: int = 1) -> list[DataFrame]:
+    """The events in order of time, in ``WAVES`` parts, and closing records.
+
+    Events without a time come with the first part.
+    """
+    events = table(spark, folder, "events")
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if span.lo is None:
+        return [events]
+    step = (span.hi - span.lo) / WAVES
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - _micros(span.lo)
+    place = F.least(F.lit(WAVES - 1), F.coalesce(F.floor(since / (step / timedelta(microseconds=1) or 1)), F.lit(0)))
+    closing = [
+        spark.createDataFrame([(CLOSING_ID, span.hi + i * CLOSING_AFTER, None, kind, None, None) for kind in ("signup", "purchase")], events.schema)
+        for i in range(1, closings + 1)
+    ]
+    return [*(events.filter(place == i) for i in range(WAVES)), *closing]
+
+
+def _micros(ts) -> int:
+    return (ts - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+
+def stream_all(
+    spark: SparkSession, folder: str, name: str, build: Callable[[Callable[[], DataFrame]], DataFrame], *times: str, closings: int = 1
+) -> DataFrame:
+    """All results of ``build`` over the events, delivered wave by wave, each in a run of its own.
+
+    ``build`` gets a function that opens the events as a stream. The closing record
+    opens a last window, session or stay that is never emitted; where a record itself
+    is the result, its id tells it.
+    """
+    with _settings(spark):
+        inbox, out = scratch(spark, "inbox"), scratch(spark, name)
+        for wave in waves(spark, folder, closings):
+            wave.write.mode("append").parquet(inbox)
+            result = drain_into(build(lambda: punch_stream(spark, inbox)), out)
+        result = _wall_clock(result, *times)
+        return result.filter(F.col("punch_id") != CLOSING_ID) if "punch_id" in result.columns else result
 
 
 def live_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counts = live.live_counts(_events(spark, folder), BUCKET, LATENESS)
-    return _wall_clock(drain(counts, "live-counts"), "window_start")
+    return stream_all(spark, folder, "live-counts", lambda events: live.live_counts(events(), BUCKET, LATENESS), "window_start")
 
 
 def live_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every punch is delivered twice."""
-    twice = _events(spark, folder).unionByName(_events(spark, folder)).select("punch_id", "person", "ts", "kind")
-    return _wall_clock(drain(live.live_dedup(twice, LATENESS), "live-dedup"), "ts")
+
+    def build(events: Callable[[], DataFrame]) -> DataFrame:
+        twice = events().unionByName(events()).select("punch_id", "person", "ts", "kind")
+        return live.live_dedup(twice, LATENESS)
+
+    return stream_all(spark, folder, "live-dedup", build, "ts")
 
 
 def live_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    sessions = live.live_sessions(_events(spark, folder), SESSION_GAP, LATENESS)
-    return _wall_clock(drain(sessions, "live-sessions"), "session_start", "session_end")
+    build = lambda events: live.live_sessions(events(), SESSION_GAP, LATENESS)
+    return stream_all(spark, folder, "live-sessions", build, "session_start", "session_end")
 
 
 def live_enrich(spark: SparkSession, folder: str) -> DataFrame:
-    people = roster(spark, folder).join(organisation(spark, folder), "nation_id").drop("nation_id")
-    rows = live.live_enrich(_events(spark, folder).select("punch_id", "person", "ts"), people)
-    return _wall_clock(drain(rows, "live-enrich"), "ts")
+    """The roster is written once; every batch reads that table instead of working it out."""
+    path = scratch(spark, "roster")
+    roster(spark, folder).join(organisation(spark, folder), "nation_id").drop("nation_id").write.parquet(path)
+    people = spark.read.parquet(path)
+    build = lambda events: live.live_enrich(events().select("punch_id", "person", "ts"), people)
+    return stream_all(spark, folder, "live-enrich", build, "ts")
 
 
 def live_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """Signups that no purchase followed, taken as check-in and check-out."""
-    rows = _events(spark, folder).select("punch_id", "person", "ts", "kind")
-    ins = rows.filter(F.col("kind") == "signup").drop("kind")
-    outs = _events(spark, folder).filter(F.col("kind") == "purchase")
-    return _wall_clock(drain(live.live_unmatched(ins, outs, OUT_WITHIN, LATENESS), "live-unmatched"), "ts")
+
+    def build(events: Callable[[], DataFrame]) -> DataFrame:
+        ins = events().filter(F.col("kind") == "signup").select("punch_id", "person", "ts")
+        return live.live_unmatched(ins, events().filter(F.col("kind") == "purchase"), OUT_WITHIN, LATENESS)
+
+    # The join sees the aggregate's watermark one batch later: it takes two records to close both.
+    return stream_all(spark, folder, "live-unmatched", build, "ts", closings=2)
 
 
 def live_stays(spark: SparkSession, folder: str) -> DataFrame:
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
-        stays = drain(live_state(_events(spark, folder), STAY_TIMEOUT, LATENESS), "live-stays")
-    return _wall_clock(stays, "in_ts", "out_ts")
+    return stream_all(spark, folder, "live-stays", lambda events: live_state(events(), STAY_TIMEOUT, LATENESS), "in_ts", "out_ts")
 
 
 def _late_delivery(spark: SparkSession, folder: str) -> tuple[str, str]:
@@ -93,9 +151,11 @@ def _late_delivery(spark: SparkSession, folder: str) -> tuple[str, str]:
     """
     store, inbox = scratch(spark, "punch-store"), scratch(spark, "inbox")
     events = table(spark, folder, "events")
-    early = F.to_date("ts") < F.lit(DELIVERY_DAY)
+    # Events without a time or a type come with the second wave.
+    early = F.coalesce(F.to_date("ts") < F.lit(DELIVERY_DAY), F.lit(False))
     error = F.col("event_type") == "error"
-    for wave in (early & ~error, ~early, early & error):
+    first, last = (F.coalesce(early & x, F.lit(False)) for x in (~error, error))
+    for wave in (first, ~first & ~last, last):
         events.filter(wave).write.mode("append").parquet(inbox)
         late_punches(punch_stream(spark, inbox), store, LATENESS).awaitTermination()
     path = f"{store}/register"
@@ -105,14 +165,16 @@ def _late_delivery(spark: SparkSession, folder: str) -> tuple[str, str]:
 
 
 def late_rows(spark: SparkSession, folder: str) -> DataFrame:
-    store, _ = _late_delivery(spark, folder)
-    rows = stored_punches(spark, store).filter("late").select("punch_id", "person", "ts")
-    return _wall_clock(rows, "ts")
+    with _settings(spark):
+        store, _ = _late_delivery(spark, folder)
+        rows = stored_punches(spark, store).filter("late").select("punch_id", "person", "ts")
+        return _wall_clock(rows, "ts")
 
 
 def settled_register(spark: SparkSession, folder: str) -> DataFrame:
-    _, path = _late_delivery(spark, folder)
-    return _wall_clock(read_register(spark, path), "first_in", "last_out")
+    with _settings(spark):
+        _, path = _late_delivery(spark, folder)
+        return _wall_clock(read_register(spark, path), "first_in", "last_out")
 
 
 QUERIES = {

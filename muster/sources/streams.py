@@ -30,8 +30,12 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     The table and the checkpoint lie in the shared scratch folder. The file sink
     commits whole batches, so a restart from the checkpoint repeats no row.
     """
+    return drain_into(stream, scratch(stream.sparkSession, name))
+
+
+def drain_into(stream: DataFrame, path: str) -> DataFrame:
+    """The same under a given path; called again with the same stream, it goes on where it ended."""
     spark = stream.sparkSession
-    path = scratch(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")

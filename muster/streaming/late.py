@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from muster.operators.cleaning import with_day
 from muster.operators.daily import daily_attendance
-from muster.sources.register import write_register
+from muster.sources.register import read_register, write_register
 
 
 def late_punches(stream: DataFrame, store: str, lateness: timedelta) -> StreamingQuery:
@@ -56,11 +56,39 @@ def stored_punches(spark: SparkSession, store: str) -> DataFrame:
 
 
 def settle_late(spark: SparkSession, store: str, register: str) -> None:
-    """Rewrite the register's days that late punches fall on; other days stay.
+    """Add the late punches of batches not settled yet to the register.
 
-    Late punches and days are folders of the store, so only the touched days are
-    read.
+    They are merged into the register's row of their person and day; rows of other
+    persons and days stay, also those of punches the store never saw. The merged
+    days are written to the store first and then copied: a run that breaks off in
+    between is finished by the next one without counting a punch twice.
     """
-    rows = stored_punches(spark, store)
-    touched = rows.filter("late").select("day").distinct()
-    write_register(daily_attendance(rows.join(F.broadcast(touched), "day", "left_semi")), register)
+    pending, settled = f"{store}/pending", f"{store}/settled"
+    done = _numbers(spark, settled)
+    last = max(done, default=-1)
+    newest = max(_numbers(spark, f"{store}/punches"), default=-1)
+    if newest > last:
+        own = f"{pending}/batch={newest}"
+        if newest not in _numbers(spark, pending, finished=True):
+            late = stored_punches(spark, store).filter(F.col("late") & (F.col("batch") > last) & (F.col("batch") <= newest))
+            fresh = daily_attendance(late.drop("batch", "late"))
+            days = F.broadcast(fresh.select("day").distinct())  # one row per date
+            rows = read_register(spark, register)
+            merged = rows.join(days, "day", "left_semi").unionByName(fresh.select(*rows.columns))
+            merged = merged.groupBy("person", "day").agg(
+                F.min("first_in").alias("first_in"), F.max("last_out").alias("last_out"), F.sum("punches").alias("punches")
+            )
+            merged.write.mode("overwrite").parquet(own)
+        write_register(spark.read.parquet(own), register)
+        spark.range(1).write.mode("overwrite").parquet(f"{settled}/batch={newest}")
+
+
+def _numbers(spark: SparkSession, path: str, finished: bool = False) -> list[int]:
+    """The batches that have a folder under ``path``; with ``finished``, whose writing ended well."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    own = [x.getPath() for x in files.listStatus(folder) if x.getPath().getName().startswith("batch=")]
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    return [int(p.getName()[6:]) for p in own if not finished or files.exists(mark(p, "_SUCCESS"))]

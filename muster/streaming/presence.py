@@ -75,20 +75,24 @@ class Stays(StatefulProcessor):
             yield frame
 
     def _walk(self, times: np.ndarray, start: int | None, passed: int) -> tuple[list[tuple], int | None]:
-        stays = []
-        for t in times.tolist():
-            if start is not None and t - start > self.timeout:
-                stays.append((start, start + self.timeout, "timeout"))
-                start = None
-            if start is None:
-                start = t
-            else:
-                stays.append((start, t, "punch"))
-                start = None
-        if start is not None and start + self.timeout <= passed:
-            stays.append((start, start + self.timeout, "timeout"))
-            start = None
-        return stays, start
+        """Stays of punches in order: a gap over the timeout begins a run, in which in and out alternate."""
+        if start is not None:
+            times = np.concatenate([[start], times])
+        if not len(times):
+            return [], None
+        fresh = np.ones(len(times), bool)
+        fresh[1:] = np.diff(times) > self.timeout
+        first = np.flatnonzero(fresh)
+        place = np.arange(len(times)) - np.repeat(first, np.diff(np.append(first, len(times))))
+        ins = np.flatnonzero(place % 2 == 0)
+        closed = np.append(~fresh[1:], False)[ins]
+        out = np.where(closed, times[np.minimum(ins + 1, len(times) - 1)], times[ins] + self.timeout)
+        # Only the last stay can still be open.
+        open_ = not closed[-1] and out[-1] > passed
+        done = len(ins) - open_
+        kinds = np.where(closed, "punch", "timeout")
+        stays = list(zip(times[ins][:done].tolist(), out[:done].tolist(), kinds[:done].tolist()))
+        return stays, int(times[ins[-1]]) if open_ else None
 
     def _wake(self, at: int) -> None:
         self.handle.registerTimer(-(-at // 1000))
