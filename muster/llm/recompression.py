@@ -41,6 +41,8 @@ ROUNDS = 3
 LONGEST = 6
 # Bytes of a window's hash, beside its anchor's eight.
 HASH_BYTES = 6
+# Bytes of text whose windows are in a task's memory together, at some hundred bytes a word.
+EMIT_BYTES = 3 << 20
 
 
 # ---- rounds -----------------------------------------------------------------------
@@ -181,7 +183,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = texts(batch)
         ids = batch.column("doc").to_numpy()
-        for lo, hi in blocks(offsets, 8 << 20):
+        for lo, hi in blocks(offsets, EMIT_BYTES):
             words = Words(data, offsets[lo : hi + 1])
             n = np.diff(words.at)
             doc = np.repeat(np.arange(hi - lo), n)
