@@ -288,3 +288,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = named.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = owners.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(empty)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one that names it.
+
+    Of rows with equal id and text one stays; rows without an id stay where their
+    component has no id at all.
+    """
+    found = jaccard_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = written(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "jaccard-stay")
+    out = docs.join(stay.select(F.col("doc_id").alias("__stays")), F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
+    return out if stay.where("rows > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
