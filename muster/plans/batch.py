@@ -1,6 +1,6 @@
 """Batch reports over the given tables, one per operator.
 
-Each function takes ``(spark, folder)`` and returns a lazy DataFrame. The site
+Each function takes ``(spark, folder)`` and returns a DataFrame (a01 and a02 write files when called). The site
 rules used here (gaps, shifts, leave, corrections) are the fixed values below;
 the SQL in :mod:`muster.plans.oracle` states the same ones.
 """

@@ -287,3 +287,21 @@ def test_operators_also_take_timestamps_with_zone(spark):
             lambda p: occupancy.occupancy_by_hour(daily.daily_attendance(p)).select("people"),
         ):
             assert rows(build(zoned)) == rows(build(local))
+
+
+def test_corrections_without_version_are_ignored_and_ties_are_ordered(spark):
+    base = make_punches(spark, [(1, at(1, 9)), (2, at(1, 9))])
+    fixes = spark.createDataFrame(
+        [(1, 1, at(1, 10), None), (2, 2, at(1, 11), 1), (2, 2, at(1, 12), 1), (9, 9, at(1, 1), None), (None, 3, at(1, 1), 1)],
+        "punch_id long, person long, ts timestamp_ntz, version int",
+    )
+    for order in ("ts", "punch_id"):
+        got = cleaning.apply_corrections(base, fixes.orderBy(order))
+        assert rows(got, "punch_id", "ts") == [(1, at(1, 9)), (2, at(1, 12))]
+
+
+def test_register_takes_any_days(spark):
+    punches = make_punches(spark, [(1, at(1, 9)), (2, at(2, 9)), (3, at(3, 9)), (4, at(5, 9))])
+    got = reports.register(punches, [d(1), d(3)])
+    assert rows(got, "person", "d_2024_01_01", "d_2024_01_03") == [(1, 1, 0), (3, 0, 1)]
+    assert reports.register(punches, []).columns == ["person"] and reports.register(punches, []).count() == 0

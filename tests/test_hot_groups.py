@@ -146,3 +146,48 @@ def test_no_cost_without_large_groups(punches, build):
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan
     assert plan.count("FileScan") == 1
+
+
+@pytest.fixture(scope="module")
+def gaps(spark):
+    """Rows without a time or a person, in large groups too, and a map column."""
+    rng = random.Random(11)
+    data = []
+    for i in range(600):
+        person = rng.choice([1, 1, 2, 3, None, None])
+        ts = None if rng.random() < 0.2 else at(rng.randint(1, 3), rng.randint(8, 10), rng.randint(0, 59))
+        data.append((i, person, ts, {"k": i}))
+    return spark.createDataFrame(data, "punch_id long, person long, ts timestamp_ntz, props map<string,int>")
+
+
+@pytest.mark.parametrize(
+    "build",
+    [
+        lambda p, n: cleaning.drop_repeats(p, GAP, n).select("punch_id", "person", "ts"),
+        lambda p, n: intervals.pair_punches(p, n),
+        lambda p, n: timeline.presence_sessions(p.filter("ts IS NOT NULL"), timedelta(hours=2), n),
+        lambda p, n: timeline.close_punches(p.filter("ts IS NOT NULL"), GAP, n),
+        lambda p, n: timeline.last_before(p.filter("punch_id % 3 <> 0"), p.filter("punch_id % 3 = 0"), n),
+    ],
+    ids=["drop_repeats", "pair_punches", "presence_sessions", "close_punches", "last_before"],
+)
+def test_both_sides_of_the_limit_agree(gaps, build):
+    want = rows(build(gaps, 5_000_000))
+    assert want
+    for limit in (0, 100):
+        assert rows(build(gaps, limit)) == want
+
+
+def test_no_row_without_a_time_is_lost(gaps):
+    for limit in (0, 100, 5_000_000):
+        kept = cleaning.drop_repeats(gaps, GAP, limit)
+        assert kept.filter("ts IS NULL").count() == gaps.filter("ts IS NULL").count()
+        assert kept.schema["props"].dataType == gaps.schema["props"].dataType
+        last = timeline.last_before(gaps, gaps.limit(0), limit)
+        assert last.count() == gaps.count()
+
+
+def test_rows_without_a_person_are_a_large_group(gaps):
+    few, many = split_hot(gaps, ["person"], 100)
+    assert {r.person for r in many.select("person").distinct().collect()} >= {None}
+    assert few.filter("person IS NULL").count() == 0

@@ -18,7 +18,7 @@ def duck(folder):
 def test_names():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     missing = set(contract.queries()) - set(contract.oracle_sql())
-    assert {n for n in missing if n[0] in "asu"} == {"a34_distinct_people_sketch"}
+    assert not {n for n in missing if n[0] in "asu"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in contract.oracle_sql() if n[0] in "asu"))

@@ -84,6 +84,53 @@ def test_late_days_are_settled_and_others_stay(spark, inbox):
     ]
 
 
+def test_settling_keeps_what_the_store_never_saw(spark, inbox):
+    inbox.put(make_punches(spark, [(1, at(1, 9)), (1, at(4, 9))]))
+    store = scratch(spark, "store")
+    register = f"{store}/register"
+    late_punches(inbox.stream(), store, LATENESS).awaitTermination()
+    old = [(7, at(2, 8), at(2, 9), 2, d(2)), (8, at(2, 7), at(2, 7), 1, d(2)), (1, at(2, 12), at(2, 13), 2, d(2))]
+    write_register(spark.createDataFrame(old, "person long, first_in timestamp_ntz, last_out timestamp_ntz, punches long, day date"), register)
+    inbox.put(make_punches(spark, [(1, at(2, 10)), (5, at(2, 11))]))
+    stream = inbox.stream().withColumn("ts", F.col("ts"))
+    late_punches(stream, store, LATENESS).awaitTermination()
+    want = [(1, d(2), 3), (5, d(2), 1), (7, d(2), 2), (8, d(2), 1)]
+    for _ in range(2):  # settled once, however often it is asked for
+        settle_late(spark, store, register)
+        assert rows(read_register(spark, register), "person", "day", "punches") == want
+    assert rows(read_register(spark, register).filter("person = 1").withColumn("h", F.hour("first_in")), "h") == [(10,)]
+    inbox.put(make_punches(spark, [(7, at(2, 23))]))
+    late_punches(inbox.stream(), store, LATENESS).awaitTermination()
+    settle_late(spark, store, register)
+    assert rows(read_register(spark, register), "person", "day", "punches") == [want[0], want[1], (7, d(2), 3), want[3]]
+
+
+def test_an_emptied_day_disappears(spark):
+    path = scratch(spark, "register")
+    daily = daily_attendance(make_punches(spark, [(1, at(1, 9)), (1, at(2, 9))]))
+    write_register(daily, path)
+    write_register(daily.filter("day = DATE '2024-01-01'"), path, emptied=[d(2)])
+    assert rows(read_register(spark, path), "day") == [(d(1),)]
+
+
+@pytest.mark.parametrize("name", ["s01_live_counts", "s03_live_sessions"])
+def test_entries_run_in_several_batches_in_any_session(spark, folder, name, monkeypatch):
+    from muster.plans import streams
+
+    runs = []
+    real = streams.drain_into
+    monkeypatch.setattr(streams, "drain_into", lambda stream, path: runs.append(path) or real(stream, path))
+    want = rows(QUERIES[name](spark, folder))
+    assert len(runs) >= 6 and len(set(runs)) == 1
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        assert rows(QUERIES[name](spark, folder)) == want
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Kolkata"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_a_repeated_batch_changes_nothing(spark, inbox):
     inbox.put(make_punches(spark, [(1, at(1, 9)), (1, at(1, 12))]))
     store = scratch(spark, "store")
