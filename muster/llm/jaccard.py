@@ -14,7 +14,8 @@ against one of them, the hub; those found similar are one component, and only
 pairs that lie in different components remain: those left over meet a second hub, and
 whatever still remains is paired in full. So large groups of near copies cost a
 comparison per member, no link between components is lost, and pairs within a
-component are never listed. Candidates are verified on the whole sets.
+component are never listed. Candidates are screened by a bound on their difference
+that small parity bitmaps prove, and those left are verified on the whole sets.
 
 The order of tokens comes from counts within each task's part of the corpus, added up
 over all tasks; it decides cost only, never the result, and its table is cut
@@ -42,7 +43,7 @@ WIDTH = 5
 NUM, DEN = 75, 100
 MAX_ORDERED = 1 << 20
 # A token counts as frequent from so many sets; each task tells those it has met this often.
-MIN_SEEN, MIN_SEEN_IN_TASK = 12, 3
+MIN_SEEN, MIN_SEEN_IN_TASK = 4, 2
 MAX_LIGHT = 256
 
 LIGHT, HEAVY, BORDER = 0, 1, 2
@@ -76,19 +77,39 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray], n
         yield lo, hi, sets, fingerprints(sets)
 
 
-PROFILE = "doc_id long, fp long, n int, token long, seen long"
+PROFILE = "doc_id long, fp long, n int, bits binary, token long, seen long"
+MIN_BITS, MAX_BITS = 64, 1 << 15
+
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """Parity of the number of tokens by their low bits, with more places than tokens."""
+    places = min(MAX_BITS, max(MIN_BITS, 1 << int(1.5 * len(s)).bit_length()))
+    return np.packbits((np.bincount((s & U(places - 1)).astype(np.int64), minlength=places) & 1).astype(bool)).tobytes()
+
+
+def may_link(a: int, b: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether parity bits leave room for similar sets of sizes ``a`` and ``b``.
+
+    Sets differ in at least as many tokens as their parities in places; more places
+    fold onto fewer by exclusive or.
+    """
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    both = (a + b - int(np.bitwise_count(x ^ y).sum())) // 2
+    return DEN * both >= NUM * (a + b - both)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows with how many distinct sets of a batch hold a token."""
-    names = ["doc_id", "fp", "n", "token", "seen"]
+    names = ["doc_id", "fp", "n", "bits", "token", "seen"]
     for batch in batches:
         known: set[int] = set()
         parts = []
         for lo, hi, sets, fp in _sets(batch):
             nothing = pa.nulls(hi - lo, pa.int64())
             n = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(as_longs(fp)), n, nothing, nothing], names)
+            bits = pa.array([parity_bits(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(as_longs(fp)), n, bits, nothing, nothing], names)
             for f, s in zip(fp.tolist(), sets):
                 if f not in known:
                     known.add(f)
@@ -96,7 +117,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, seen = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U), np.zeros(0, int))
         often = seen >= MIN_SEEN_IN_TASK
         k = int(often.sum())
-        arrays = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())]
+        arrays = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(as_longs(token[often])), pa.array(seen[often])], names)
 
 
@@ -111,19 +132,35 @@ def prefix(a: int, shared: int) -> int:
     return a - least_overlap(a) + shared
 
 
+def prefix_list_length(seen: np.ndarray, tokens: float) -> float:
+    """Mean length of the list a prefix token stands in: prefixes hold the rarest part of all tokens.
+
+    ``seen`` are the counts of frequent tokens, the others count as met once.
+    """
+    part = tokens * (1 - NUM / DEN)
+    upwards = np.sort(seen).astype(float)
+    mass = np.cumsum(upwards) + max(0.0, tokens - float(upwards.sum()))
+    taken = upwards[mass <= part]
+    return float(((taken**2).sum() + part - taken.sum()) / max(1.0, part))
+
+
+# Costs of a row written and shuffled and of a list entry scanned.
+WRITE, SCAN = 1.0, 0.1
+
+
 def boundary(sizes: dict[int, int], list_length: float) -> int:
     """The largest light size with the least cost; ``sizes`` has the number of sets by size."""
 
     def subsets(a: int) -> float:
         p = prefix(a, 2)
-        return p * (p - 1) / 2
+        return p * (p - 1) / 2 * (WRITE + SCAN)
 
     def cost(b: int) -> float:
         total = 0.0
         for a, n in sizes.items():
             if a >= 3:
-                scan = prefix(a, 1) * list_length
-                total += n * (scan if a > b else subsets(a) + (prefix(a, 1) if a >= least_overlap(b + 1) else 0))
+                scan = prefix(a, 1) * (WRITE + SCAN * list_length)
+                total += n * (scan if a > b else subsets(a) + (scan if a >= least_overlap(b + 1) else 0))
         return total
 
     return min(range(2, MAX_LIGHT + 1), key=cost)
@@ -205,11 +242,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of ``edges`` whose sets are similar enough."""
-    x = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
-    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(batch.column("an").to_pylist(), batch.column("bn").to_pylist(), batch.column("x"), batch.column("y"))
+        good = [may_link(a, b, np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for a, b, x, y in rows]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+class Verifier:
+    """Holds pairs of sets against each other: their parity bits first, the sets of what remains then."""
+
+    def __init__(self, docs: DataFrame, owners: DataFrame):
+        self.docs, self.owners = docs, owners
+        self.bits = written(owners.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-bits")
+
+    def __call__(self, edges: DataFrame) -> DataFrame:
+        """The pairs ``(a, b)`` of ``edges`` whose sets are similar enough."""
+        x = self.bits.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("bits").alias("x"))
+        y = self.bits.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("y"))
+        near = written(edges.join(x, "a").join(y, "b").select("a", "b", "an", "bn", "x", "y").mapInArrow(_screen, "a long, b long"), "jaccard-near")
+        # The sets, from one document each.
+        wanted = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
+        ids = self.owners.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
+        ids = written(ids, "jaccard-ids")
+        chosen = self.docs.join(ids, self.docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
+        sets = written(chosen.mapInArrow(_emit_sets, "fp long, tokens binary"), "jaccard-sets")
+        x = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
+        y = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
+        met = near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
+        return written(met, "jaccard-links")
 
 
 def _comparable(a: Column, b: Column) -> Column:
@@ -233,16 +294,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = written(docs.mapInArrow(_profile, PROFILE), "jaccard-profile")
-    owners = profile.where("fp IS NOT NULL").select("doc_id", "fp", "n")
+    owners = profile.where("fp IS NOT NULL").select("doc_id", "fp", "n", "bits")
     frequent = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= MIN_SEEN)
     top = frequent.orderBy(F.desc("seen"), "token").limit(MAX_ORDERED).toArrow()
     token, seen = top.column("token").to_numpy().view(U), top.column("seen").to_numpy()
     sizes = {r.n: r.sets for r in owners.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").agg(F.count_distinct("fp").alias("sets")).collect()}
-    # Mean length of the list that a token stands in, frequent or not.
     all_tokens = float(owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    squares, listed = float((seen.astype(float) ** 2).sum()), float(seen.sum())
-    rare = max(0.0, all_tokens - listed)
-    light = boundary(sizes, max(1.0, (squares + rare) / max(1.0, listed + rare)))
+    light = boundary(sizes, prefix_list_length(seen, all_tokens))
 
     order = spark.sparkContext.broadcast(Order(token, seen))  # MAX_ORDERED tokens at most
     rows = docs.select("text").mapInArrow(lambda b: _sign(b, order.value, light), SIGNATURES)
@@ -251,15 +309,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = rows.withColumn("hub", hub).withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w))
     shared = written(marked.where("lo <> hi AND hub IS NOT NULL").drop("lo", "hi"), "jaccard-shared")
 
-    # The sets of all candidates, from one document each.
-    wanted = shared.select("fp").distinct()
-    ids = owners.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
-    chosen = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-    sets = written(chosen.mapInArrow(_emit_sets, "fp long, tokens binary"), "jaccard-sets")
-
+    verified = Verifier(docs, owners)
     # Against the first hub, then another one, then whatever is left.
     tested = written(_pairs(shared.where((F.col("fp") != F.col("hub.fp")) & _comparable(F.col("n"), F.col("hub.n"))), "fp", "hub.fp"), "jaccard-tested")
-    links = written(verified(tested, sets), "jaccard-links")
+    links = verified(tested)
     roots = components(links)
     left = _open(shared, roots)
     for last in (False, True):
@@ -276,8 +329,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             held = left.withColumn("other", other)
             found = _pairs(held.where((F.col("root") != F.col("other.root")) & _comparable(F.col("n"), F.col("other.n"))), "fp", "other.fp")
         new = written(found.join(tested, ["a", "b"], "left_anti"), "jaccard-tested")
-        more = written(verified(new, sets), "jaccard-links")
-        tested, links = tested.unionByName(new), links.unionByName(more)
+        tested, links = tested.unionByName(new), links.unionByName(verified(new))
         roots = components(links)
         if not last:
             left = _open(left.drop("root"), roots)
