@@ -127,8 +127,12 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(text, NO_WORD, -1), lambda w: F.length(w) >= MIN_TERM_LENGTH)
 
 
-def term_pairs(docs: DataFrame, id_col: str, text_col: str, min_together: int) -> DataFrame:
-    """``term, entity, together``: on how many distinct lines a term stands near an entity."""
+def term_pairs(docs: DataFrame, id_col: str, text_col: str, min_together: int, min_share: float) -> DataFrame:
+    """``term, entity, together``: on how many distinct lines a term stands near an entity.
+
+    Terms that even the lines around entities show with others too often to reach
+    ``min_share`` are left out: common words go before they are looked up anywhere.
+    """
     lines = _lines(docs, id_col, text_col).select("lh", "line")
     pairs = None
     for kind in KINDS:
@@ -145,7 +149,9 @@ def term_pairs(docs: DataFrame, id_col: str, text_col: str, min_together: int) -
         part = met.select("lh", F.xxhash64(F.lit(kind), value).alias("entity"), F.explode(F.array_distinct(near)).alias("term"))
         pairs = part if pairs is None else pairs.unionByName(part)
     pairs = pairs.where(F.length("term") >= MIN_TERM_LENGTH).distinct()
-    return pairs.groupBy("term", "entity").agg(F.count("*").alias("together")).where(F.col("together") >= min_together)
+    together = pairs.groupBy("term", "entity").agg(F.count("*").alias("together")).where(F.col("together") >= min_together)
+    around = pairs.select("term", "lh").distinct().groupBy("term").agg(F.count("*").alias("around"))
+    return together.join(around, "term").where(F.col("together") >= min_share * F.col("around")).drop("around")
 
 
 def disclosing_terms(
@@ -158,7 +164,7 @@ def disclosing_terms(
     remove_share: float = REMOVE_SHARE,
 ) -> DataFrame:
     """``id, th, terms``: the terms to treat in a document (``th`` is its text's hash), each with ``drop``."""
-    pairs = written(term_pairs(docs, id_col, text_col, min_together), "disclosure-pairs")
+    pairs = written(term_pairs(docs, id_col, text_col, min_together, min_share), "disclosure-pairs")
     candidates = written(pairs.select("term").distinct(), "disclosure-terms")
     # Where candidate terms stand. Spark broadcasts the candidates if their table is small.
     words = _lines(docs, id_col, text_col).select("id", "th", "lh", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
