@@ -34,7 +34,8 @@ DELIVERY_DAY = date(2024, 1, 16)
 
 
 WAVES = 5
-# The closing record: nobody's, long after all others, so that the watermark passes everything.
+# The closing record: of a person who is none (not null: a join's filter on null persons
+# would keep it from the watermark), long after all others, so that the watermark passes everything.
 CLOSING_ID, CLOSING_AFTER = -1, timedelta(days=60)
 
 
@@ -73,7 +74,7 @@ def waves(spark: SparkSession, folder: str, closings: int = 1) -> list[DataFrame
     since = F.unix_micros(F.col("ts").cast("timestamp")) - _micros(span.lo)
     place = F.least(F.lit(WAVES - 1), F.coalesce(F.floor(since / (step / timedelta(microseconds=1) or 1)), F.lit(0)))
     closing = [
-        spark.createDataFrame([(CLOSING_ID, span.hi + i * CLOSING_AFTER, None, kind, None, None) for kind in ("signup", "purchase")], events.schema)
+        spark.createDataFrame([(CLOSING_ID, span.hi + i * CLOSING_AFTER, CLOSING_ID, kind, None, None) for kind in ("signup", "purchase")], events.schema)
         for i in range(1, closings + 1)
     ]
     return [*(events.filter(place == i) for i in range(WAVES)), *closing]
@@ -136,7 +137,7 @@ def live_unmatched(spark: SparkSession, folder: str) -> DataFrame:
         ins = events().filter(F.col("kind") == "signup").select("punch_id", "person", "ts")
         return live.live_unmatched(ins, events().filter(F.col("kind") == "purchase"), OUT_WITHIN, LATENESS)
 
-    # The join sees the aggregate's watermark one batch later: it takes two records to close both.
+    # The first record closes the aggregate, the second one surely the join behind it.
     return stream_all(spark, folder, "live-unmatched", build, "ts", closings=2)
 
 
