@@ -289,6 +289,17 @@ def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return written(marked.where("lo <> hi").drop("lo", "hi"), "jaccard-open")
 
 
+def _distinct_lists(rows: DataFrame) -> DataFrame:
+    """``rows`` without lists that hold the very members of another list."""
+    w = Window.partitionBy("sig")
+    # Two sums of hashes stand for the members; kinds belong to them.
+    one = F.xxhash64("fp", "kind")
+    marked = rows.withColumn("m1", F.sum(F.shiftright(one, 20)).over(w)).withColumn("m2", F.sum(one.bitwiseAND(F.lit((1 << 40) - 1))).over(w))
+    marked = marked.withColumn("m3", F.count("*").over(w))
+    keep = marked.groupBy("m1", "m2", "m3").agg(F.min("sig").alias("sig")).select("sig")
+    return written(rows.join(keep, "sig", "left_semi"), "jaccard-lists")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per document."""
     spark = docs.sparkSession
@@ -319,14 +330,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if left.isEmpty():
             break
         if last:
-            x, y = left.select("sig", "fp", "n", "kind", "root").alias("x"), left.select("sig", "fp", "n", "kind", "root").alias("y")
+            lists = _distinct_lists(left).select("sig", "fp", "n", "kind", "root")
+            x, y = lists.alias("x"), lists.alias("y")
             meet = x.join(y, F.col("x.sig") == F.col("y.sig")).where(
                 (F.col("x.root") < F.col("y.root")) & _comparable(F.col("x.n"), F.col("y.n")) & ~((F.col("x.kind") == BORDER) & (F.col("y.kind") == BORDER))
             )
             found = _pairs(meet, "x.fp", "y.fp")
         else:
-            other = F.max(F.when(F.col("kind") != BORDER, F.struct("fp", "n", "root"))).over(w)
-            held = left.withColumn("other", other)
+            # Another hub in each list, out of its largest component: whoever is not linked
+            # yet meets as many different hubs as it stands in lists.
+            size = F.count("*").over(Window.partitionBy("sig", "root"))
+            order = F.struct("size", F.xxhash64("fp", "sig").alias("h"), "fp", "n", "root")
+            held = left.withColumn("size", size).withColumn("other", F.max(F.when(F.col("kind") != BORDER, order)).over(w))
             found = _pairs(held.where((F.col("root") != F.col("other.root")) & _comparable(F.col("n"), F.col("other.n"))), "fp", "other.fp")
         new = written(found.join(tested, ["a", "b"], "left_anti"), "jaccard-tested")
         tested, links = tested.unionByName(new), links.unionByName(verified(new))
