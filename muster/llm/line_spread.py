@@ -39,10 +39,11 @@ def line_key(line: Column) -> Column:
 def line_places(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     rows = docs.select(
         F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("th"),
         F.coalesce(F.col(site_col).cast("string"), F.lit("\x00none")).alias("site"),
         F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"),
     )
-    return rows.select("id", "site", "pos", line_key(F.col("line")).alias("key")).where("key IS NOT NULL")
+    return rows.select("id", "th", "site", "pos", line_key(F.col("line")).alias("key")).where("key IS NOT NULL")
 
 
 def boilerplate_lines(
@@ -71,11 +72,12 @@ def remove_spread_lines(
     """``docs`` with the lines removed from the text, and ``n_lines`` and ``n_removed`` as ``_n_lines``, ``_n_removed``."""
     places = line_places(docs, id_col, text_col, site_col)
     hits = places.join(boilerplate_lines(places, min_sites), "key")
-    marks = hits.groupBy(F.col("id").alias("__id")).agg(
+    # Rows that share an id are told apart by their text.
+    marks = hits.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(
         F.collect_set("key").alias("__bad"),
         F.collect_set(F.when(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos")), F.col("pos"))).alias("__first"),
     )
-    joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left").drop("__id", "__th")
     lines = lines_of(F.col(text_col))
     kept = F.filter(
         lines,

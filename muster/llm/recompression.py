@@ -18,10 +18,13 @@ Repeats inside a batch of documents are found before the shuffle, and only the f
 of them is sent on. Removal is judged on the input: every word covered by a window
 that also starts earlier goes.
 
-Edge cases: a null text has no words; texts under a window's length lose nothing;
-rows with equal ids are ordered by a hash of their text, and of equal rows all
-but one count as later; null ids come first; an empty table gives no rows; extra columns are
-ignored.
+A row is known by its id and a 64-bit hash of its text: marks made for one row never
+reach another that shares its id. Of rows equal in both, one is a document and the others
+are copies of it that come later, so all their windows are repeats.
+
+Edge cases: a null text has no words and equals an empty one; texts under a window's length
+lose nothing; rows with equal ids are ordered by the hash of their text; null ids come first;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import STEP, U, Words, as_longs, blocks, mix, session_parallelism, texts, windows
+from muster.llm.common import STEP, U, Words, as_longs, blocks, mix, session_parallelism, texts, windows, written
 
 WINDOW = 20
 ROUNDS = 3
@@ -154,7 +157,9 @@ def choose(level: Level, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, name:
 
 # ---- in tasks -------------------------------------------------------------------
 
-ROWS = "name long, doc long, place int, ahead int, count int, hashes binary"
+ROWS = "name long, doc long, th long, place int, ahead int, count int, hashes binary"
+NAMES = ["name", "doc", "th", "place", "ahead", "count", "hashes"]
+MARKS = ["doc", "th", "place", "count"]
 
 
 def _runs(doc: np.ndarray, place: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,20 +174,22 @@ def _runs(doc: np.ndarray, place: np.ndarray, *more: np.ndarray) -> tuple[np.nda
     return start, np.diff(np.append(start, len(doc)))
 
 
-def _flags(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _flags(doc: np.ndarray, th: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """Repeated windows as runs; their name only spreads them."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    start, count = _runs(doc, place)
+    order = np.lexsort((place, th, doc))
+    doc, th, place = doc[order], th[order], place[order]
+    start, count = _runs(doc, place, th)
+    doc, th = doc[start], th[start]
     nothing = pa.nulls(len(start), pa.binary())
-    arrays = [as_longs(mix(doc[start].astype(U))), doc[start], place[start].astype(np.int32), np.zeros(len(start), np.int32), count.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([*[pa.array(a) for a in arrays], nothing], ["name", "doc", "place", "ahead", "count", "hashes"])
+    spread = as_longs(mix(doc.astype(U) ^ mix(th.astype(U))))
+    arrays = [spread, doc, th, place[start].astype(np.int32), np.zeros(len(start), np.int32), count.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*[pa.array(a) for a in arrays], nothing], NAMES)
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = texts(batch)
-        ids = batch.column("doc").to_numpy()
+        ids, hashed = batch.column("doc").to_numpy(), batch.column("th").to_numpy()
         for lo, hi in blocks(offsets, EMIT_BYTES):
             words = Words(data, offsets[lo : hi + 1])
             n = np.diff(words.at)
@@ -191,15 +198,18 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             valid = np.flatnonzero(np.arange(len(hashes)) + WINDOW <= words.at[1:][doc[: len(hashes)]]) if len(hashes) else np.zeros(0, int)
             if not len(valid):
                 continue
-            own, place = ids[lo:hi][doc[valid]], valid - words.at[doc[valid]]
+            ranks = np.empty(hi - lo, np.int64)  # of the block's rows by id and text
+            ranks[np.lexsort((hashed[lo:hi], ids[lo:hi]))] = np.arange(hi - lo)
+            own, place = ranks[doc[valid]], valid - words.at[doc[valid]]
             # Windows of the block in order of document and place; of equal ones the first goes on.
             order = np.lexsort((place, own))
             _, first, index = np.unique(hashes[valid][order], return_index=True, return_inverse=True)
             head = order[first[index]]
             later = np.zeros(len(valid), bool)
             later[order] = (own[order] != own[head]) | (place[order] != place[head])
+            of = lo + doc[valid]
             if later.any():
-                yield _flags(own[later], place[later])
+                yield _flags(ids[of[later]], hashed[of[later]], place[later])
             name, at = anchors(words.code, doc, valid)
             keep = np.flatnonzero(~later)
             start, count = _runs(doc[valid[keep]], place[keep], at[keep], name[keep])
@@ -207,28 +217,28 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = (hashes[valid[keep]] >> U(64 - 8 * HASH_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
             cut = np.append(start, len(keep)).astype(np.int64) * HASH_BYTES
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cut), pa.py_buffer(raw)])
-            arrays = [as_longs(name[begin]), own[begin], place[begin].astype(np.int32), (at[begin] - valid[begin]).astype(np.int32), count.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(a) for a in arrays], packed.cast(pa.binary())], ["name", "doc", "place", "ahead", "count", "hashes"])
+            arrays = [as_longs(name[begin]), ids[of[begin]], hashed[of[begin]], place[begin].astype(np.int32), (at[begin] - valid[begin]).astype(np.int32), count.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(a) for a in arrays], packed.cast(pa.binary())], NAMES)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows, from rows sorted by anchor, document and place.
+    """Repeated windows, from rows sorted by anchor, document, text and place.
 
     What a batch's last anchor has shown so far is carried on: its distinct windows.
     """
     held_name = None
-    held: tuple[np.ndarray, ...] = (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    held: tuple[np.ndarray, ...] = (np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
     for batch in batches:
         if not batch.num_rows:
             continue
         flagged = batch.column("hashes").is_null().to_numpy(zero_copy_only=False)
         if flagged.any():
             known = batch.filter(pa.array(flagged))
-            yield known.select(["doc", "place", "count"])
+            yield known.select(MARKS)
         rows = batch.filter(pa.array(~flagged))
         if not rows.num_rows:
             continue
-        name, doc = rows.column("name").to_numpy(), rows.column("doc").to_numpy()
+        name, doc, th = (rows.column(c).to_numpy() for c in ("name", "doc", "th"))
         place, ahead, count = (rows.column(c).to_numpy().astype(np.int64) for c in ("place", "ahead", "count"))
         _, offsets, raw = rows.column("hashes").buffers()
         lo = np.frombuffer(offsets, np.int32)[rows.column("hashes").offset]
@@ -238,26 +248,26 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = value.view("<u8").ravel().astype(U)
         row = np.repeat(np.arange(len(name)), count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        own, at = doc[row], place[row] + step
+        own, hashed, at = doc[row], th[row], place[row] + step
         # The window's place relative to its anchor is part of what must agree.
         key = mix(value ^ mix((ahead[row] - step).astype(U) + U(3)))
         group = name[row]
         if held_name is not None and group[0] == held_name:
             carried = len(held[0])
-            key, own, at = np.concatenate([held[0], key]), np.concatenate([held[1], own]), np.concatenate([held[2], at])
+            key, own, hashed, at = (np.concatenate(pair) for pair in zip(held, (key, own, hashed, at)))
             group = np.concatenate([np.full(carried, held_name), group])
         else:
             carried = 0
         both = mix(key ^ mix(group.astype(U)))
         _, first, index = np.unique(both, return_index=True, return_inverse=True)
         head = first[index]
-        later = (own != own[head]) | (at != at[head])
+        later = (own != own[head]) | (hashed != hashed[head]) | (at != at[head])
         later[:carried] = False
         if later.any():
-            yield _flags(own[later], at[later]).select(["doc", "place", "count"])
+            yield _flags(own[later], hashed[later], at[later]).select(MARKS)
         held_name = group[-1]
         last = np.unique(head[group == held_name])
-        held = (key[last], own[last], at[last])
+        held = (key[last], own[last], hashed[last], at[last])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +283,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = int(words.at[i]), int(words.at[i + 1])
                 start, end = words.start[a:b], words.end[a:b]
                 gone = 0
-                if marks[lo + i].is_valid and b > a:
+                if marks[lo + i].is_valid and b - a >= WINDOW:
                     runs = marks[lo + i].values
                     place, count = runs.field("place").to_numpy(), runs.field("count").to_numpy()
                     change = np.zeros(b - a + 1, np.int64)
@@ -289,15 +299,33 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept"])
 
 
+def _once(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with one row of those equal in id and text, and the others (none: null)."""
+    equal = written(rows.groupBy("doc", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc", "th"), "recompression-equal")
+    if equal.isEmpty():
+        return rows, None
+    # Numbered and written, so that the choice stays the same.
+    copies = written(rows.join(equal, ["doc", "th"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "recompression-copies")
+    heads = copies.groupBy("doc", "th").agg(F.min("row").alias("head"))
+    told = copies.join(heads, ["doc", "th"])
+    first, others = (told.where(test).select(rows.columns) for test in ("row = head", "row <> head"))
+    return rows.join(equal, ["doc", "th"], "left_anti").select(rows.columns).unionByName(first), others
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: the words that stay, joined by one space."""
     spark = docs.sparkSession
     # Null ids stand before all others.
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc.alias("doc"), F.col(text_col).alias("text"))
-    sent = rows.select("doc", "text").mapInArrow(_emit, ROWS)
-    met = sent.repartition(session_parallelism(spark), "name").sortWithinPartitions("name", "doc", "place")
-    flags = met.mapInArrow(_judge, "doc long, place int, count int")
-    marks = flags.groupBy("doc").agg(F.collect_list(F.struct("place", "count")).alias("marks"))
-    joined = rows.join(marks.withColumnRenamed("doc", "at"), F.col("doc") == F.col("at"), "left")
-    return joined.select("doc_id", "text", "marks").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc.alias("doc"), th.alias("th"), F.col(text_col).alias("text"))
+    rows, others = _once(rows)
+    sent = rows.select("doc", "th", "text").mapInArrow(_emit, ROWS)
+    met = sent.repartition(session_parallelism(spark), "name").sortWithinPartitions("name", "doc", "th", "place")
+    flags = met.mapInArrow(_judge, "doc long, th long, place int, count int")
+    marks = flags.groupBy("doc", "th").agg(F.collect_list(F.struct("place", "count")).alias("marks"))
+    joined = rows.join(marks, ["doc", "th"], "left").select("doc_id", "text", "marks")
+    if others is not None:
+        all_windows = F.array(F.struct(F.lit(0).alias("place"), F.lit(1 << 30).alias("count")))
+        joined = joined.unionByName(others.select("doc_id", "text", all_windows.alias("marks")))
+    return joined.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")

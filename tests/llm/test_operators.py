@@ -138,6 +138,15 @@ def test_line_spread(docs, given, odd, nothing, sites):
     assert line_spread.remove_spread_lines(nothing).count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_first_lines(spark):
+    """Where one row of an id keeps a first line, another row of that id loses a line at the same place."""
+    rows = [(0, "two", "", "a", 0), (1, "one\nown", "", "a", 0), (1, "two\nother", "", "b", 0), (2, "one", "", "b", 0), (2, "two\nx", "", "c", 0)]
+    rows += [(None, "three", "", "a", 0), (None, "two\nthree", "", "b", 0), (None, "x\nfour", "", "c", 0), (3, "four\nthree", "", "d", 0)]
+    for parts in (1, 4):
+        got = line_spread.remove_spread_lines(spark.createDataFrame(rows, SCHEMA).repartition(parts), 2)
+        assert sorted((tuple(r) for r in got.select("doc_id", "text", "_n_lines", "_n_removed").collect()), key=repr) == plain_lines(rows, 2)
+
+
 def test_lines_near_the_threshold_are_counted_exactly(spark):
     rows = [(i, f"common\nown {i}", "en", f"s{i % 400}", 1) for i in range(800)] + [(1000 + i, "rarer", "en", f"s{i}", 1) for i in range(399)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -549,6 +558,44 @@ def test_repeats_equal_brute_force(spark, docs, given, odd, nothing):
     assert recompression.remove_repeats(nothing).count() == 0
 
 
+def plain_repeats_by_row(rows):
+    """As ``plain_repeats`` where rows with equal ids are documents of their own; of equal rows, one is first."""
+    alone = {(r[0], r[1]): n for n, r in enumerate(rows)}
+    order = sorted(alone, key=lambda r: (r[0] is not None, r[0] or 0))
+    out, seen = [], set()
+    for i, text in order:
+        w, gone = words(text), set()
+        for k in range(len(w) - 19):
+            if (t := tuple(w[k : k + 20])) in seen:
+                gone.update(range(k, k + 20))
+            seen.add(t)
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+        for _ in range(sum((r[0], r[1]) == (i, text) for r in rows) - 1):
+            out.append((i, len(w), len(w) if len(w) > 19 else 0, "" if len(w) > 19 else " ".join(w)))
+    return sorted(out, key=repr)
+
+
+def test_repeats_are_removed_by_row_not_by_id(spark):
+    """Each text of an id shares a passage with an earlier id only, so the order among equal ids decides nothing."""
+    some = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    p, q = some("p", 30), some("q", 25)
+    rows = [(None, p + " " + q)]  # the first place of both passages
+    for i, c in ((5, "abc"), (5, "d"), (7, "ef"), (8, "g")):
+        rows += [(i, f"{some(x, 30)} {p if k % 2 else q} {some(x + 'z', 5 + k)}") for k, x in enumerate(c)]
+    rows += [(None, some("m", 60)), (None, some("n", 60)), (None, "short"), (None, "short"), (9, None), (9, "")]
+    rows += [rows[1]] * 2 + [rows[0]] + [rows[5]]
+    want = plain_repeats_by_row([(i, t or "") for i, t in rows])
+    assert sum(r[2] for r in want) > 400
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted(map(tuple, recompression.remove_repeats(df).collect()), key=repr) == want
+    # Two texts of a null id, one passage: the later loses the passage alone, the other nothing.
+    x, y = some("x", 40), some("y", 30)
+    got = recompression.remove_repeats(spark.createDataFrame([(None, p + " " + x), (None, y + " " + p)], "doc_id long, text string")).collect()
+    kept = sorted(r.kept for r in got)
+    assert sum(r.n_removed for r in got) == 30 and kept in (sorted([p + " " + x, y]), sorted([x, y + " " + p]))
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(6)
     code = rng.integers(0, 4, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
