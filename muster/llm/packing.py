@@ -15,12 +15,18 @@ sizes is too large for Spark to broadcast.
 
 Edge cases: a null text is empty and gives the end token alone; a null source
 is a queue of its own; null ids and repeated rows are packed like any other; an
-empty table gives no pieces; extra columns are ignored. Sources beyond the
-``MAX_QUEUES - 1`` with most tokens share one queue.
+empty table gives no pieces; extra columns are ignored.
+
+Sources with a target and the largest others have queues of their own; all the rest
+share one, in which a second round robin serves them: its round is a window's worth of
+the queue (or several, where that is less than a token a source), and a source's tokens
+before any round follow from the round's number by the same kind of formula. Places
+in that queue are a running sum over (round, source), made in tasks by range.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -43,8 +49,11 @@ END_ID = 2
 MAX_QUEUES = 64
 # Shares are rounded to this many parts, so that products fit 64 bits.
 SHARE_PARTS = 1 << 30
+# Bytes of ids dealt to rounds at a time: a piece may be one token.
+DEAL_BYTES = 256 << 10
 
 TOKENS = "doc_id long, source string, part int, start long, n long, ids binary"
+DEALT = "doc_id long, source string, turn long, at long, skip long, n long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -224,12 +233,62 @@ class Rounds:
         return lo
 
 
+# ---- the shared queue -----------------------------------------------------------
+
+
+def turn_of(place: int, tokens: int, length: int, total: int) -> int:
+    """The round that serves token ``place`` of a source with so many of ``total`` tokens, ``length`` of them a round."""
+    return -(-(place + 1) * total // (tokens * length)) - 1
+
+
+def served_before(turn: int, tokens: int, length: int, total: int) -> int:
+    return min(tokens, turn * tokens * length // total)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], length: int, total: int) -> Iterator[pa.RecordBatch]:
+    """Documents cut where the rounds of the shared queue end; ``at`` is a piece's place in its source."""
+    for batch in batches:
+        ids = batch.column("ids")
+        offsets = np.frombuffer(ids.buffers()[1], np.int32 if pa.types.is_binary(ids.type) else np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        for lo, hi in blocks(offsets, DEAL_BYTES):
+            out: list[tuple] = []
+            for row in batch.slice(lo, hi - lo).to_pylist():
+                width, a, end = row["ids"][0], row["at"], row["at"] + row["n"]
+                while a < end:
+                    turn = turn_of(a, row["total"], length, total)
+                    b = min(end, served_before(turn + 1, row["total"], length, total))
+                    skip = a - row["at"]
+                    raw = row["ids"][:1] + row["ids"][1 + skip * width : 1 + (skip + b - a) * width]
+                    out.append((row["doc_id"], row["source"], turn, a, skip, b - a, row["n"], raw))
+                    a = b
+            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()]
+            names = [f.split()[0] for f in DEALT.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+
+def _shared(rows: DataFrame, length: int, total: int) -> DataFrame:
+    """Pieces of the shared queue's documents with their places in it, in that order."""
+    dealt = written(rows.mapInArrow(lambda b: _deal(b, length, total), DEALT), "pack-dealt")
+    served = dealt.groupBy("turn", "source").agg(F.sum("n").alias("tokens"), F.min("at").alias("head"))
+    # A running sum by range: each range is summed, then lifted by the ranges before it.
+    ranges = written(served.repartitionByRange("turn", "source").withColumn("range", F.spark_partition_id()), "pack-served")
+    sums = ranges.groupBy("range").agg(F.sum("tokens").alias("all"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("range", F.coalesce(F.sum("all").over(upto(Window.orderBy("range"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("tokens").over(upto(Window.partitionBy("range").orderBy("turn", "source"))), F.lit(0))
+    starts = ranges.withColumn("inside", inside).join(bases, "range")
+    starts = starts.select(F.col("turn").alias("t"), F.col("source").alias("s"), "head", (F.col("base") + F.col("inside")).alias("base"))
+    met = dealt.join(starts, (dealt.turn == starts.t) & dealt.source.eqNullSafe(starts.s))
+    placed = met.withColumn("place", F.col("base") + F.col("at") - F.col("head"))
+    return placed.repartitionByRange("place").sortWithinPartitions("place")
+
+
 # ---- pieces -------------------------------------------------------------------
 
 
 def _cut(batches: Iterator[pa.RecordBatch], rounds: Rounds) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("queue", "place", "n")}
+        columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("queue", "place", "n", "skip", "doc_tokens")}
         ids, docs = batch.column("ids"), batch.column("doc_id")
         order = np.lexsort((columns["place"], columns["queue"]))
         # A run: documents that follow each other in one queue.
@@ -237,10 +296,14 @@ def _cut(batches: Iterator[pa.RecordBatch], rounds: Rounds) -> Iterator[pa.Recor
         breaks = np.flatnonzero((queue[1:] != queue[:-1]) | (place[1:] != place[:-1] + n[:-1])) + 1
         for lo, hi in zip([0, *breaks.tolist()], [*breaks.tolist(), len(order)]):
             if lo < hi:
-                yield _pieces(rounds, int(queue[lo]), place[lo:hi], n[lo:hi], order[lo:hi], ids, docs)
+                rows = order[lo:hi]
+                whole = columns["skip"][rows], columns["doc_tokens"][rows]
+                yield _pieces(rounds, int(queue[lo]), place[lo:hi], n[lo:hi], *whole, rows, ids, docs)
 
 
-def _pieces(rounds: Rounds, queue: int, place: np.ndarray, n: np.ndarray, rows: np.ndarray, ids: pa.Array, docs: pa.Array) -> pa.RecordBatch:
+def _pieces(
+    rounds: Rounds, queue: int, place: np.ndarray, n: np.ndarray, skip: np.ndarray, doc_tokens: np.ndarray, rows: np.ndarray, ids: pa.Array, docs: pa.Array
+) -> pa.RecordBatch:
     end = int(place[-1] + n[-1])
     first, last = rounds.window_of(queue, int(place[0])), rounds.window_of(queue, end - 1)
     served = rounds.before(first, last + 1)
@@ -261,7 +324,7 @@ def _pieces(rounds: Rounds, queue: int, place: np.ndarray, n: np.ndarray, rows:
             raw = np.frombuffer(packed, "<u2" if width == 2 else "<u4", offset=1).astype("<u4")
             held = d
         crcs.append(zlib.crc32(raw[a : a + k]))
-    arrays = [docs.take(pa.array(rows[doc])), start, length, np.array(crcs, np.int64), n[doc], first + window, offset]
+    arrays = [docs.take(pa.array(rows[doc])), start + skip[doc], length, np.array(crcs, np.int64), doc_tokens[doc], first + window, offset]
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return pa.RecordBatch.from_arrays([pa.array(a) if isinstance(a, np.ndarray) else a for a in arrays], names)
 
@@ -270,29 +333,48 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, model_
     """The pieces of all documents: where each run of ids lies in which sequence.
 
     ``targets`` gives sources their share of a window; by default each source's
-    share of all tokens, so that every window has the corpus' mixture.
+    share of all tokens, so that every window has the corpus' mixture. Every source with
+    a target gets it; those without follow, in proportion, when those are dry.
     """
+    if any(not math.isfinite(x) or x < 0 for x in (targets or {}).values()):
+        raise ValueError("targets must be finite and not negative")
     spark = docs.sparkSession
     tokens = tokenised(docs, model_file or tokenizer_file(), end_id)
     sizes = tokens.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
     per_source = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    total = per_source.agg(F.sum("tokens")).first()[0] or 0
-    top = per_source.orderBy(F.desc("tokens"), "source").limit(max_queues - 1).collect()
+    every = per_source.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("sources")).first()
+    total = every.tokens or 0
+    aimed = [k for k, x in (targets or {}).items() if x > 0]
+    first = F.coalesce(F.col("source").isin([k for k in aimed if k is not None]), F.lit(None in aimed))
+    top = per_source.orderBy(F.desc(first), F.desc("tokens"), "source").limit(max(max_queues - 1, len(aimed))).collect()
     totals = [r.tokens for r in top]
     rest = total - sum(totals)
     goal = None if targets is None else [float(targets.get(r.source, 0.0)) for r in top]
     if rest:
         totals.append(rest)
-        goal = goal and [*goal, 0.0]
+        if goal is not None:
+            goal.append(0.0)  # no source of the rest has a target
     rounds = spark.sparkContext.broadcast(Rounds(totals, goal, window))  # a few numbers per queue
     names = spark.createDataFrame([(r.source, i) for i, r in enumerate(top)], "source string, queue int")
     queued = sizes.join(F.broadcast(names), sizes.source.eqNullSafe(names.source), "left").select(
         sizes.source, "part", "tokens", F.coalesce("queue", F.lit(len(top))).alias("queue")
     )
-    before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source")
+    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = queued.select(
-        F.col("source").alias("s"), F.col("part").alias("p"), "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")
-    )
+        F.col("source").alias("s"), F.col("part").alias("p"), "queue",
+        F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), F.sum("tokens").over(own).alias("total"),
+    )
     placed = tokens.join(bases, tokens.source.eqNullSafe(bases.s) & (tokens.part == bases.p))
-    rows = placed.select("doc_id", "queue", (F.col("base") + F.col("start")).alias("place"), "n", "ids")
+    placed = placed.withColumn("at", F.col("base") + F.col("start"))
+    columns = ["doc_id", "queue", "place", "n", "skip", "doc_tokens", "ids"]
+    whole = placed.where(F.col("queue") < len(top)) if rest else placed
+    rows = whole.select("doc_id", "queue", F.col("at").alias("place"), "n", F.lit(0).cast("long").alias("skip"), F.col("n").alias("doc_tokens"), "ids")
+    if rest:
+        # What shares windows with the rest in proportion: all, or all without a target.
+        among = total - sum(n for n, x in zip(totals, goal or []) if x > 0)
+        # A round is as many windows as give the rest a token a source.
+        length = window * max(1, math.ceil((every.sources - len(top)) * among / (rest * window)))
+        dealt = placed.where(F.col("queue") == len(top)).select("doc_id", "source", "at", "n", "total", "ids")
+        rows = rows.unionByName(_shared(dealt, length, among).withColumn("queue", F.lit(len(top))).select(columns))
     return rows.mapInArrow(lambda b: _cut(b, rounds.value), PIECES)

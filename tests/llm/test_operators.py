@@ -242,6 +242,55 @@ def test_rounds_keep_the_mixture():
             assert goal.before(w, w)[0, q] <= place < goal.before(w + 1, w + 1)[0, q]
 
 
+def source_tokens(got, sources):
+    """Tokens by (window, source) and the number of windows."""
+    taken, at = collections.Counter(), collections.defaultdict(list)
+    for p in got:
+        taken[p.sequence_id, sources[p.doc_id]] += p.length
+        at[p.doc_id].append(p)
+    for own in at.values():
+        own.sort(key=lambda p: p.start)
+        assert [p.start for p in own] == np.cumsum([0, *[p.length for p in own]])[:-1].tolist()
+        assert sum(p.length for p in own) == own[0].doc_tokens
+    return taken, 1 + max(p.sequence_id for p in got)
+
+
+@pytest.mark.parametrize("kinds, window", [(60, 512), (60, 64)])
+def test_sources_without_a_queue_keep_their_share(spark, kinds, window):
+    """Far more sources than queues: in every run of windows each source has its share."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(kinds):
+        for _ in range(6 if k < 5 else 2):
+            words_ = " ".join(f"w{x}" for x in rng.integers(0, 99, int(rng.integers(100, 400) * (1 + (k < 5)))))
+            rows.append((len(rows), words_, "en", f"host{k}" if k else None, 0))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sources = {r[0]: r[3] for r in rows}
+    got = packing.pack(df, window=window, max_queues=8).collect()
+    taken, count = source_tokens(got, sources)
+    size = collections.Counter()
+    for p in got:
+        size[sources[p.doc_id]] += p.length
+    total = sum(size.values())
+    assert all(sum(taken[w, s] for s in size) == window for w in range(count - 1))
+    for s, n in size.items():
+        turn = max(1.0, kinds / window * 1.5)  # windows of a round of the shared queue
+        cum = np.cumsum([taken[w, s] for w in range(count)])
+        ideal = np.minimum(np.arange(1, count + 1) * window / total, 1.0) * n
+        assert np.abs(cum - ideal).max() <= 4 + 2 * turn * window * n / total, s
+
+
+def test_every_target_is_honoured_or_refused(spark):
+    rows = [(i, " ".join(f"w{x % 50}" for x in range(900 if i < 8 else 60)), "en", f"s{i:02}", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    goal = {"s00": 1.0, "s27": 1.0, "s28": 1.0, "s29": 1.0}  # three are among the smallest
+    taken, _ = source_tokens(packing.pack(df, goal, window=64, max_queues=3).collect(), {r[0]: r[3] for r in rows})
+    assert all(abs(taken[0, s] - 16) <= 1 for s in goal)
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            packing.pack(df, {"s00": bad})
+
+
 # ---- 5 ----------------------------------------------------------------------------
 
 
