@@ -127,14 +127,9 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(text, NO_WORD, -1), lambda w: F.length(w) >= MIN_TERM_LENGTH)
 
 
-def term_pairs(docs: DataFrame, id_col: str, text_col: str, min_together: int, min_share: float) -> DataFrame:
-    """``term, entity, together``: on how many distinct lines a term stands near an entity.
-
-    Terms that even the lines around entities show with others too often to reach
-    ``min_share`` are left out: common words go before they are looked up anywhere.
-    """
-    lines = _lines(docs, id_col, text_col).select("lh", "line")
-    pairs = None
+def entity_places(lines: DataFrame) -> DataFrame:
+    """``lh, entity, near``: each entity's lines and the words near it."""
+    places = None
     for kind in KINDS:
         held = lines.withColumn("hits", _found(F.col("line"), kind)).where(F.size("hits") > 0)
         n = F.size("hits")
@@ -146,8 +141,18 @@ def term_pairs(docs: DataFrame, id_col: str, text_col: str, min_together: int, m
         left, right = F.filter(F.split("m.left", NO_WORD, -1), lambda w: w != ""), F.filter(F.split("m.right", NO_WORD, -1), lambda w: w != "")
         near = F.concat(F.slice(F.reverse(left), 1, NEAR_WORDS), F.slice(right, 1, NEAR_WORDS))
         value = F.lower("m.hits") if kind == "email" else _digits(F.col("m.hits"))
-        part = met.select("lh", F.xxhash64(F.lit(kind), value).alias("entity"), F.explode(F.array_distinct(near)).alias("term"))
-        pairs = part if pairs is None else pairs.unionByName(part)
+        part = met.select("lh", F.xxhash64(F.lit(kind), value).alias("entity"), F.array_distinct(near).alias("near"))
+        places = part if places is None else places.unionByName(part)
+    return places
+
+
+def term_pairs(places: DataFrame, min_together: int, min_share: float) -> DataFrame:
+    """``term, entity, together``: on how many distinct lines a term stands near an entity.
+
+    Terms that even the lines around entities show with others too often to reach
+    ``min_share`` are left out: common words go before they are looked up anywhere.
+    """
+    pairs = places.select("lh", "entity", F.explode("near").alias("term"))
     pairs = pairs.where(F.length("term") >= MIN_TERM_LENGTH).distinct()
     together = pairs.groupBy("term", "entity").agg(F.count("*").alias("together")).where(F.col("together") >= min_together)
     around = pairs.select("term", "lh").distinct().groupBy("term").agg(F.count("*").alias("around"))
@@ -164,15 +169,17 @@ def disclosing_terms(
     remove_share: float = REMOVE_SHARE,
 ) -> DataFrame:
     """``id, th, terms``: the terms to treat in a document (``th`` is its text's hash), each with ``drop``."""
-    pairs = written(term_pairs(docs, id_col, text_col, min_together, min_share), "disclosure-pairs")
+    lines = _lines(docs, id_col, text_col).select("lh", "line")
+    places = written(entity_places(lines), "disclosure-places")
+    pairs = written(term_pairs(places, min_together, min_share), "disclosure-pairs")
     candidates = written(pairs.select("term").distinct(), "disclosure-terms")
     # Where candidate terms stand. Spark broadcasts the candidates if their table is small.
     words = _lines(docs, id_col, text_col).select("id", "th", "lh", F.explode(F.array_distinct(_terms(F.col("line")))).alias("term"))
     seen = written(words.join(candidates, "term"), "disclosure-seen")
     per_term = seen.groupBy("term").agg(F.count_distinct("lh").alias("lines"))
-    # An entity's lines: at least as many as it shares with any of its terms.
-    entity = pairs.groupBy("entity").agg(F.max("together").alias("entity_lines"))
-    all_lines = docs.select(F.sum(F.size(F.split(F.col(text_col), "\n", -1)))).first()[0] or 1
+    # All counts are of distinct lines: the entity's, the term's and the corpus'.
+    entity = places.select("entity", "lh").distinct().groupBy("entity").agg(F.count("*").alias("entity_lines"))
+    all_lines = lines.select("lh").distinct().count()
     share = F.col("together") / F.col("lines")
     bits = F.log2(F.col("together") * F.lit(float(all_lines)) / (F.col("lines") * F.col("entity_lines")))
     told = pairs.join(per_term, "term").join(entity, "entity").where((share >= min_share) & (bits >= min_bits))

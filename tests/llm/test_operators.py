@@ -490,6 +490,28 @@ def test_terms_that_give_an_entity_away(spark):
     assert out[1] == "letter 1 from  to someone at [EMAIL] about matter1" and out[103] == dict(rows)[103]
 
 
+def test_terms_equal_a_plain_count_of_distinct_lines(spark):
+    """Copies of lines and entities with lines of their own decide as their distinct lines say."""
+    fill = [f"plain{k} filler{k}" for k in range(150)]
+    busy = [f"x{k} busy@mail.org" for k in range(60)] + [f"Rarename {k} busy@mail.org" for k in range(3)]
+    calm = [f"Othername {k} calm@mail.org" for k in range(3)]
+    texts = ["\n".join(fill), "\n".join(busy), "\n".join(calm)]
+
+    def plain(lines):
+        marked = set()
+        for term, mail in (("Rarename", "busy@"), ("Othername", "calm@")):
+            with_term, with_mail = ({x for x in lines if w in x} for w in (term, mail))
+            both = len(with_term & with_mail)
+            if both >= 3 and np.log2(both * len(lines) / (len(with_term) * len(with_mail))) >= disclosure.MIN_BITS:
+                marked.add(term)
+        return marked
+
+    for rows in (texts, [*texts, *texts * 20], texts[1:] * 30):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+        got = {t.term for r in disclosure.disclosing_terms(df).collect() for t in r.terms}
+        assert got == plain({x for t in rows for x in t.split("\n")})
+
+
 def _kinds(row):
     return {(*disclosure.KINDS, "term")[s.kind] for s in row.all_spans}
 
