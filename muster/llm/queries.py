@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import block_ann, disclosure, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, recompression, sentencepieces
+from muster.llm import block_ann, disclosure, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, recompression, sentencepieces, url_filter
 from muster.llm.common import table
 
 
@@ -72,6 +72,19 @@ def recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+# The rules the contract states.
+URL_RULES = [
+    url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"),
+]
+
+
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: addresses of pages that were reached by a tracking link; it blocks the page in every spelling."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES, pages.where(url_filter.tracked(F.col("url")))).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_round_trip,
     "op2_line_spread": line_dedup,
@@ -83,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_disclosure": disclosure_control,
     "op9_jaccard_join": jaccard_join,
     "op10_recompression": recompression_dedup,
+    "op12_url_bloom": url_verdicts,
 }
 
 SQL: dict[str, str] = {
@@ -116,4 +130,28 @@ SQL: dict[str, str] = {
         ), numbered AS (
           SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
         ) SELECT * FROM numbered WHERE rank <= 20""",
+    "op12_url_bloom": r"""
+        WITH cut AS (
+          SELECT page_id, url, instr(url, '://') AS place, substr(url, instr(url, '://') + 3) AS rest FROM pages
+        ), parts AS (
+          SELECT page_id, url,
+                 CASE WHEN place > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+                 CASE WHEN place > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+                 string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&') AS asked FROM cut
+        ), formed AS (
+          SELECT page_id, host, path, len(list_filter(asked, lambda p: regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) > 0 AS tracked,
+                 regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '')
+                 || regexp_replace(regexp_replace(path, '(/index)?\.html$', ''), '/$', '') AS page,
+                 list_sort(list_filter(asked, lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) AS kept FROM parts
+        ), keyed AS (
+          SELECT *, CASE WHEN host <> '' THEN page || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS key FROM formed
+        ), rules(action, rh, rp) AS (
+          VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+        ), named AS (
+          SELECT k.*, (SELECT arg_max({'rule': rh || rp, 'action': action}, length(rh || rp)) FROM rules
+                       WHERE (k.host = rh OR ends_with(k.host, '.' || rh)) AND starts_with(k.path, rp)) AS best FROM keyed k
+        ), listed AS (SELECT DISTINCT key AS l FROM keyed WHERE tracked AND key IS NOT NULL)
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.rule AS rule,
+               coalesce(best.action, CASE WHEN l IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+        FROM named LEFT JOIN listed ON key = l""",
 }
