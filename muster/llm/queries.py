@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import block_ann, disclosure, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, recompression, sentencepieces, url_filter
+from muster.llm import block_ann, disclosure, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, recompression, sentencepieces, token_alignment, url_filter
 from muster.llm.common import table
 
 
@@ -72,6 +72,10 @@ def recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 # The rules the contract states.
 URL_RULES = [
     url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": jaccard_join,
     "op10_recompression": recompression_dedup,
     "op12_url_bloom": url_verdicts,
+    "op13_token_alignment": alignment,
 }
 
 SQL: dict[str, str] = {
