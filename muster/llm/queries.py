@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import block_ann, disclosure, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, recompression, sentencepieces, token_alignment, url_filter
+from muster.llm import block_ann, disclosure, jaccard, label_shards, line_spread, mixture_lang, packing, perplexity, prefix_trie, recompression, sentencepieces, token_alignment, url_filter
 from muster.llm.common import table
 
 
@@ -72,6 +72,10 @@ def recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"))
 
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_disclosure": disclosure_control,
     "op9_jaccard_join": jaccard_join,
     "op10_recompression": recompression_dedup,
+    "op11_prefix_trie": conversation_trie,
     "op12_url_bloom": url_verdicts,
     "op13_token_alignment": alignment,
 }
@@ -135,6 +140,34 @@ SQL: dict[str, str] = {
         ), numbered AS (
           SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
         ) SELECT * FROM numbered WHERE rank <= 20""",
+    # Every prefix is a list of turns; a node's subtree is the nodes whose list begins with its own.
+    "op11_prefix_trie": """
+        WITH turns AS (
+          SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+          FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (SELECT conv_id, list(t ORDER BY i) AS ts FROM turns GROUP BY conv_id),
+        checked AS (
+          SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda r, c: list_reduce(list_prepend(xor(r, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+              lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 6 AS h FROM own
+        ), rebuilt AS (
+          SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts
+          FROM checked c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+        ), members AS (
+          SELECT conv_id, len(ts) AS n, d AS depth, ts[1:d] AS path FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)
+        ), nodes AS (
+          SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = depth AS leaf,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+          FROM members GROUP BY path, depth
+        ), below AS (
+          SELECT a.path, count(*) FILTER (x.leaf) AS n_leaves, count(*) FILTER (x.depth = len(a.path) + 1) AS n_children,
+                 sum(CASE WHEN x.depth > 0 THEN (x.n_convs - 1) * length(x.path[-1].text) ELSE 0 END) AS saved
+          FROM (SELECT path AS whole, leaf, depth, n_convs, path, unnest(range(0, depth + 1)) AS d FROM nodes) x
+          JOIN nodes a ON a.path = x.whole[1:x.d] AND a.depth = x.d GROUP BY a.path
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN nodes p ON p.path = n.path[1:n.depth - 1] AND n.depth > 0""",
     "op12_url_bloom": r"""
         WITH cut AS (
           SELECT page_id, url, instr(url, '://') AS place, substr(url, instr(url, '://') + 3) AS rest FROM pages
