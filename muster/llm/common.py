@@ -18,6 +18,8 @@ __all__ = ["table", "scratch"]
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 # Bytes of text handled at a time; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+# Bytes whose words are hashed at a time: every byte takes some 40 bytes meanwhile.
+HASHED_BYTES = 512 << 10
 
 U = np.uint64
 
@@ -126,7 +128,7 @@ class Words:
         lo = 0
         while lo < len(size):  # some words at a time, for memory
             done = int(filled[lo - 1]) if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(filled, done + BLOCK_BYTES, "right")))
+            hi = max(lo + 1, int(np.searchsorted(filled, done + HASHED_BYTES, "right")))
             some = size[lo:hi]
             first = np.cumsum(some) - some
             place = np.arange(int(some.sum())) - np.repeat(first, some)
@@ -162,5 +164,16 @@ def as_longs(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def rebuilt(kind: type, fields: dict) -> object:
+    """An object of ``kind`` from its ``vars``.
+
+    Broadcasts carry the fields alone: a broadcast object would ask workers for its class,
+    and they need not have this package.
+    """
+    out = object.__new__(kind)
+    out.__dict__.update(fields)
+    return out
+
+
 def session_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

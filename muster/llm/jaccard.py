@@ -11,11 +11,13 @@ list entries scanned.
 
 Sets are compared once per distinct set. In each list, all sets are first held
 against one of them, the hub; those found similar are one component, and only
-pairs that lie in different components remain: those left over meet a second hub, and
-whatever still remains is paired in full. So large groups of near copies cost a
-comparison per member, no link between components is lost, and pairs within a
-component are never listed. Candidates are screened by a bound on their difference
-that small parity bitmaps prove, and those left are verified on the whole sets.
+pairs that lie in different components remain. Those left over meet a second hub. A list
+that still holds several components is cut into tiles of bounded size; a task holds a
+tile's parity bitmaps, which prove that sets differ in so many tokens, against each
+other and puts out the few pairs they leave open. So large groups of near copies cost a
+comparison per member, no link between components is lost, pairs within a component are
+never looked at, and no pairs are listed but those that are nearly similar or met a hub.
+Pairs left open by their bitmaps are verified on the whole sets.
 
 The order of tokens comes from counts within each task's part of the corpus, added up
 over all tasks; it decides cost only, never the result, and its table is cut
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.common import U, Words, as_longs, blocks, mix, texts, windows, with_lower, written
+from muster.llm.common import U, Words, as_longs, blocks, mix, rebuilt, texts, windows, with_lower, written
 from muster.llm.components import components
 
 WIDTH = 5
@@ -77,13 +79,13 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray], n
         yield lo, hi, sets, fingerprints(sets)
 
 
-PROFILE = "doc_id long, fp long, n int, bits binary, token long, seen long"
-MIN_BITS, MAX_BITS = 64, 1 << 15
+PROFILE = "doc_id long, fp long, n int, bits binary, token long, seen long, digest binary"
+MIN_BITS, MAX_BITS = 64, 1 << 16
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """Parity of the number of tokens by their low bits, with more places than tokens."""
-    places = min(MAX_BITS, max(MIN_BITS, 1 << int(1.5 * len(s)).bit_length()))
+    """Parity of the number of tokens by their low bits, with four places a token or more."""
+    places = min(MAX_BITS, max(MIN_BITS, 1 << (4 * len(s)).bit_length()))
     return np.packbits((np.bincount((s & U(places - 1)).astype(np.int64), minlength=places) & 1).astype(bool)).tobytes()
 
 
@@ -101,7 +103,7 @@ def may_link(a: int, b: int, x: np.ndarray, y: np.ndarray) -> bool:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows with how many distinct sets of a batch hold a token."""
-    names = ["doc_id", "fp", "n", "bits", "token", "seen"]
+    names = [f.split()[0] for f in PROFILE.split(", ")]
     for batch in batches:
         known: set[int] = set()
         parts = []
@@ -109,7 +111,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nothing = pa.nulls(hi - lo, pa.int64())
             n = pa.array([len(s) for s in sets], pa.int32())
             bits = pa.array([parity_bits(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(as_longs(fp)), n, bits, nothing, nothing], names)
+            some = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(as_longs(fp)), n, bits, nothing, nothing, some.column("digest")], names)
             for f, s in zip(fp.tolist(), sets):
                 if f not in known:
                     known.add(f)
@@ -118,7 +121,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = seen >= MIN_SEEN_IN_TASK
         k = int(often.sum())
         arrays = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(as_longs(token[often])), pa.array(seen[often])], names)
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(as_longs(token[often])), pa.array(seen[often]), pa.nulls(k, pa.binary())], names)
 
 
 # ---- cost -----------------------------------------------------------------------
@@ -262,17 +265,93 @@ class Verifier:
         y = self.bits.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("y"))
         near = written(edges.join(x, "a").join(y, "b").select("a", "b", "an", "bn", "x", "y").mapInArrow(_screen, "a long, b long"), "jaccard-near")
         # The sets, from one document each.
-        wanted = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
+        wanted = written(near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct(), "jaccard-wanted")
         ids = self.owners.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
         ids = written(ids, "jaccard-ids")
         chosen = self.docs.join(ids, self.docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-        sets = written(chosen.mapInArrow(_emit_sets, "fp long, tokens binary"), "jaccard-sets")
+        # An id may stand for several rows, with the same or another set: one of each set that is wanted.
+        sets = chosen.mapInArrow(_emit_sets, "fp long, tokens binary").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("tokens").alias("tokens"))
+        sets = written(sets, "jaccard-sets")
         x = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
         y = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
         met = near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
         return written(met, "jaccard-links")
 
 
+# ---- tiles ----------------------------------------------------------------------
+
+# Sets of a list that are held against each other at a time.
+TILE = 1024
+TILE_ROWS = "sig long, i int, j int, fp long, n int, kind int, root long, bucket int, bits binary"
+
+
+def _left_open(rows: dict[str, list], among: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of a tile in different components whose bitmaps leave room for similar sets.
+
+    ``among``: all rows are one bucket; else pairs have a row of either bucket.
+    """
+    fp, n, kind, root, bucket = (np.array(rows[c]) for c in ("fp", "n", "kind", "root", "bucket"))
+    places = np.array([len(b) for b in rows["bits"]])
+    maps = {size: (own := np.flatnonzero(places == size), np.stack([np.frombuffer(rows["bits"][k], U) for k in own.tolist()])) for size in np.unique(places).tolist()}
+    for size, (own, left) in maps.items():
+        for other, (them, right) in maps.items():
+            if other < size:
+                continue
+            right = np.bitwise_xor.reduce(right.reshape(len(them), -1, left.shape[1]), axis=1)
+            for k, x in zip(own.tolist(), left):
+                ok = (root[them] != root[k]) & (DEN * np.minimum(n[them], n[k]) >= NUM * np.maximum(n[them], n[k])) & ((kind[them] != BORDER) | (kind[k] != BORDER))
+                ok &= (them > k) if other == size else True
+                ok &= True if among else bucket[them] != bucket[k]
+                at = np.flatnonzero(ok)
+                both = (n[k] + n[them[at]] - np.bitwise_count(right[at] ^ x).sum(axis=1, dtype=np.int64)) // 2
+                for m in them[at[DEN * both >= NUM * (n[k] + n[them[at]] - both)]].tolist():
+                    yield min(fp[k], fp[m]), max(fp[k], fp[m])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile to the distinct pairs left open; a tile may go on in the next batch."""
+    names = ["fp", "n", "kind", "root", "bucket", "bits"]
+    now, rows = None, {c: [] for c in names}
+    met: set[tuple[int, int]] = set()
+
+    def out() -> pa.RecordBatch:
+        pairs = list(met)
+        met.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j"))))
+        columns = {c: batch.column(c).to_pylist() for c in names}
+        starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1])]
+        for lo, hi in zip(starts, [*starts[1:], len(keys)]):
+            if keys[lo] != now:
+                if now is not None:
+                    met.update(_left_open(rows, now[1] == now[2]))
+                now, rows = keys[lo], {c: [] for c in names}
+            for c in names:
+                rows[c] += columns[c][lo:hi]
+        if len(met) > 1 << 16:
+            yield out()
+    if now is not None:
+        met.update(_left_open(rows, now[1] == now[2]))
+    yield out()
+
+
+def open_pairs(lists: DataFrame, bits: DataFrame, tile: int = 0) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that share a list and may be similar.
+
+    A list of up to ``TILE`` sets is one tile; a longer one is dealt to buckets of about that
+    size, and each two buckets are a tile.
+    """
+    size = lists.groupBy("sig").agg(F.ceil(F.count("*") / (tile or TILE)).cast("int").alias("buckets"))
+    rows = lists.join(size, "sig").join(bits.select("fp", "bits"), "fp")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("fp"), F.col("buckets")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+    rows = rows.withColumn("i", F.least("bucket", "o")).withColumn("j", F.greatest("bucket", "o")).select([f.split()[0] for f in TILE_ROWS.split(", ")])
+    dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return dealt.mapInArrow(_tiles, "a long, b long").distinct()
+
+
 def _comparable(a: Column, b: Column) -> Column:
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
@@ -302,10 +381,19 @@ def _distinct_lists(rows: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per document."""
+    named = _with_roots(docs, id_col, text_col)
+    least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    joined = named.where("n > 0").join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    empty = named.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return joined.unionByName(empty)
+
+
+def _with_roots(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, digest, fp, n, root`` of every row: its text's digest, its set, and its component."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = written(docs.mapInArrow(_profile, PROFILE), "jaccard-profile")
-    owners = profile.where("fp IS NOT NULL").select("doc_id", "fp", "n", "bits")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    profile = written(docs.withColumn("digest", text_digest(F.col("text"))).mapInArrow(_profile, PROFILE), "jaccard-profile")
+    owners = profile.where("fp IS NOT NULL").select("doc_id", "digest", "fp", "n", "bits")
     frequent = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= MIN_SEEN)
     top = frequent.orderBy(F.desc("seen"), "token").limit(MAX_ORDERED).toArrow()
     token, seen = top.column("token").to_numpy().view(U), top.column("seen").to_numpy()
@@ -313,8 +401,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all_tokens = float(owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     light = boundary(sizes, prefix_list_length(seen, all_tokens))
 
-    order = spark.sparkContext.broadcast(Order(token, seen))  # MAX_ORDERED tokens at most
-    rows = docs.select("text").mapInArrow(lambda b: _sign(b, order.value, light), SIGNATURES)
+    order = spark.sparkContext.broadcast(vars(Order(token, seen)))  # MAX_ORDERED tokens at most
+    rows = docs.select("text").mapInArrow(lambda b: _sign(b, rebuilt(Order, order.value), light), SIGNATURES)
     w = Window.partitionBy("sig")
     hub = F.min(F.when(F.col("kind") != BORDER, F.struct("fp", "n"))).over(w)
     marked = rows.withColumn("hub", hub).withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w))
@@ -326,44 +414,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = verified(tested)
     roots = components(links)
     left = _open(shared, roots)
-    for last in (False, True):
-        if left.isEmpty():
-            break
-        if last:
-            lists = _distinct_lists(left).select("sig", "fp", "n", "kind", "root")
-            x, y = lists.alias("x"), lists.alias("y")
-            meet = x.join(y, F.col("x.sig") == F.col("y.sig")).where(
-                (F.col("x.root") < F.col("y.root")) & _comparable(F.col("x.n"), F.col("y.n")) & ~((F.col("x.kind") == BORDER) & (F.col("y.kind") == BORDER))
-            )
-            found = _pairs(meet, "x.fp", "y.fp")
-        else:
-            # Another hub in each list, out of its largest component: whoever is not linked
-            # yet meets as many different hubs as it stands in lists.
-            size = F.count("*").over(Window.partitionBy("sig", "root"))
-            order = F.struct("size", F.xxhash64("fp", "sig").alias("h"), "fp", "n", "root")
-            held = left.withColumn("size", size).withColumn("other", F.max(F.when(F.col("kind") != BORDER, order)).over(w))
-            found = _pairs(held.where((F.col("root") != F.col("other.root")) & _comparable(F.col("n"), F.col("other.n"))), "fp", "other.fp")
-        new = written(found.join(tested, ["a", "b"], "left_anti"), "jaccard-tested")
-        tested, links = tested.unionByName(new), links.unionByName(verified(new))
+    if not left.isEmpty():
+        # Another hub in each list, out of its largest component: whoever is not linked
+        # yet meets as many different hubs as it stands in lists.
+        size = F.count("*").over(Window.partitionBy("sig", "root"))
+        held = left.withColumn("size", size)
+        other = F.max(F.when(F.col("kind") != BORDER, F.struct("size", F.xxhash64("fp", "sig").alias("h"), "fp", "n", "root"))).over(w)
+        held = held.withColumn("other", other).where((F.col("root") != F.col("other.root")) & _comparable(F.col("n"), F.col("other.n")))
+        found = written(_pairs(held, "fp", "other.fp"), "jaccard-second")
+        links = links.unionByName(verified(written(found.join(tested, ["a", "b"], "left_anti"), "jaccard-tested")))
         roots = components(links)
-        if not last:
-            left = _open(left.drop("root"), roots)
-
-    named = owners.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = named.where("n > 0")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = named.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    empty = owners.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return joined.unionByName(empty)
+        left = _open(left.drop("root"), roots)
+    if not left.isEmpty():
+        lists = _distinct_lists(left).select("sig", "fp", "n", "kind", "root")
+        links = links.unionByName(verified(written(open_pairs(lists, verified.bits), "jaccard-left")))
+        roots = components(links)
+    named = owners.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return named.select("doc_id", "digest", "fp", "n", F.coalesce("root", "fp").alias("root"))
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8"), 256))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one that names it.
 
-    Of rows with equal id and text one stays; rows without an id stay where their
-    component has no id at all.
+    Rows are told apart by id and text: of those equal in both one stays, also of empty texts,
+    each of which is a component of its own. A component without any id keeps the text with
+    the least digest.
     """
-    found = jaccard_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = written(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "jaccard-stay")
-    out = docs.join(stay.select(F.col("doc_id").alias("__stays")), F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
-    return out if stay.where("rows > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
+    named = written(_with_roots(docs, id_col, text_col).select("doc_id", "digest", "n", "root"), "jaccard-named")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = named.where("n > 0").groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.digest")
+    stay = first.unionByName(named.where("n = 0").select("doc_id", "digest").distinct()).select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("x"))
+    keyed = rows.withColumn("i", F.col(f"x.`{id_col}`").cast("long")).withColumn("d", text_digest(F.col(f"x.`{text_col}`")))
+    s = stay.alias("s")
+    out = keyed.alias("k").join(s, F.col("k.i").eqNullSafe(F.col("s.i")) & (F.col("k.d") == F.col("s.d")), "left_semi")
+    repeated = named.groupBy("doc_id", "digest").agg(F.count("*").alias("rows")).where("rows > 1").limit(1)
+    out = out if repeated.isEmpty() else out.dropDuplicates(["i", "d"])
+    return out.select([F.col(f"x.`{c}`") for c in docs.columns])
