@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from muster.llm.chunks import ChunkCache
-from muster.llm.common import blocks, texts, written
+from muster.llm.common import blocks, rebuilt, texts, written
 
 WINDOW = 4096
 END_ID = 2
@@ -108,6 +108,16 @@ class WordEncoder:
         return [words[lower[c]] if c in lower else other[c] for c in chunks]
 
 
+def lowered(text: str) -> str:
+    """Lower case as the tokenizer makes it, so that fewer chunks differ; only where case has no special rules."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 WORKER: dict[tuple, ChunkCache] = {}
 
 
@@ -126,7 +136,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], model: str, end_id: int) -> Itera
         _, offsets = texts(batch)
         for lo, hi in blocks(offsets):
             some = batch.slice(lo, hi - lo)
-            flat, counts, _, _ = cache.ids([t or "" for t in some.column("text").to_pylist()])
+            flat, counts, _, _ = cache.ids([lowered(t) if t else "" for t in some.column("text").to_pylist()])
             ends = np.cumsum(counts)
             flat = np.insert(flat, ends, end_id).astype("<u4")
             sizes = counts + 1
@@ -354,7 +364,7 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, model_
         totals.append(rest)
         if goal is not None:
             goal.append(0.0)  # no source of the rest has a target
-    rounds = spark.sparkContext.broadcast(Rounds(totals, goal, window))  # a few numbers per queue
+    rounds = spark.sparkContext.broadcast(vars(Rounds(totals, goal, window)))  # a few numbers per queue
     names = spark.createDataFrame([(r.source, i) for i, r in enumerate(top)], "source string, queue int")
     queued = sizes.join(F.broadcast(names), sizes.source.eqNullSafe(names.source), "left").select(
         sizes.source, "part", "tokens", F.coalesce("queue", F.lit(len(top))).alias("queue")
@@ -377,4 +387,4 @@ def pack(docs: DataFrame, targets: dict[str | None, float] | None = None, model_
         length = window * max(1, math.ceil((every.sources - len(top)) * among / (rest * window)))
         dealt = placed.where(F.col("queue") == len(top)).select("doc_id", "source", "at", "n", "total", "ids")
         rows = rows.unionByName(_shared(dealt, length, among).withColumn("queue", F.lit(len(top))).select(columns))
-    return rows.mapInArrow(lambda b: _cut(b, rounds.value), PIECES)
+    return rows.mapInArrow(lambda b: _cut(b, rebuilt(Rounds, rounds.value)), PIECES)
