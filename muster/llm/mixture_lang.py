@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muster.llm.common import U, blocks, mix, texts
+from muster.llm.common import U, blocks, mix, rebuilt, texts
 
 BUCKET_BITS = 16
 MAX_TRAIN_DOCS = 20_000
@@ -229,6 +229,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with ``lang_pred`` and ``score``."""
     rows = docs.drop("lang_pred", "score")
     # 256 kB per language.
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(lambda b: _predict(b, shared.value, text_col), schema)
+    return rows.mapInArrow(lambda b: _predict(b, rebuilt(Model, shared.value), text_col), schema)
