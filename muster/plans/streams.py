@@ -90,16 +90,19 @@ def stream_all(
     """All results of ``build`` over the events, delivered wave by wave, each in a run of its own.
 
     ``build`` gets a function that opens the events as a stream. The closing record
-    opens a last window, session or stay that is never emitted; where a record itself
-    is the result, its id tells it.
+    opens a last window, session or stay that is never emitted; where records themselves
+    are the result, it is the one that is later than all events.
     """
     with _settings(spark):
+        newest = table(spark, folder, "events").agg(F.max("ts")).first()[0]
         inbox, out = scratch(spark, "inbox"), scratch(spark, name)
         for wave in waves(spark, folder, closings):
             wave.write.mode("append").parquet(inbox)
             result = drain_into(build(lambda: punch_stream(spark, inbox)), out)
         result = _wall_clock(result, *times)
-        return result.filter(F.col("punch_id") != CLOSING_ID) if "punch_id" in result.columns else result
+        if "punch_id" not in result.columns or newest is None:
+            return result
+        return result.filter(F.coalesce(F.col("ts") <= F.lit(newest), F.lit(True)))
 
 
 def live_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -59,28 +59,38 @@ def settle_late(spark: SparkSession, store: str, register: str) -> None:
     """Add the late punches of batches not settled yet to the register.
 
     They are merged into the register's row of their person and day; rows of other
-    persons and days stay, also those of punches the store never saw. The merged
-    days are written to the store first and then copied: a run that breaks off in
-    between is finished by the next one without counting a punch twice.
+    persons and days stay, also those of punches the store never saw.
+
+    The merged days are first written to the store, whole, and then copied over the
+    register's. A run that broke off in between leaves merged days without a mark; they
+    are copied again and marked before any newer batch is merged. So every merge begins
+    from a register that holds all batches before it and none after, and no punch is
+    counted twice, wherever a run ends and whatever arrives meanwhile. Nobody else
+    may rewrite the days of the register between a broken run and the next one.
     """
     pending, settled = f"{store}/pending", f"{store}/settled"
-    done = _numbers(spark, settled)
-    last = max(done, default=-1)
-    newest = max(_numbers(spark, f"{store}/punches"), default=-1)
+    last = max(_numbers(spark, settled), default=-1)
+    for merged in sorted(n for n in _numbers(spark, pending, finished=True) if n > last):
+        last = _copy_merged(spark, pending, settled, register, merged)
+    newest = max(_numbers(spark, f"{store}/punches", finished=True), default=-1)
     if newest > last:
-        own = f"{pending}/batch={newest}"
-        if newest not in _numbers(spark, pending, finished=True):
-            late = stored_punches(spark, store).filter(F.col("late") & (F.col("batch") > last) & (F.col("batch") <= newest))
-            fresh = daily_attendance(late.drop("batch", "late"))
-            days = F.broadcast(fresh.select("day").distinct())  # one row per date
-            rows = read_register(spark, register)
-            merged = rows.join(days, "day", "left_semi").unionByName(fresh.select(*rows.columns))
-            merged = merged.groupBy("person", "day").agg(
-                F.min("first_in").alias("first_in"), F.max("last_out").alias("last_out"), F.sum("punches").alias("punches")
-            )
-            merged.write.mode("overwrite").parquet(own)
-        write_register(spark.read.parquet(own), register)
-        spark.range(1).write.mode("overwrite").parquet(f"{settled}/batch={newest}")
+        late = stored_punches(spark, store).filter(F.col("late") & (F.col("batch") > last) & (F.col("batch") <= newest))
+        fresh = daily_attendance(late.drop("batch", "late"))
+        days = F.broadcast(fresh.select("day").distinct())  # one row per date
+        rows = read_register(spark, register)
+        merged = rows.join(days, "day", "left_semi").unionByName(fresh.select(*rows.columns))
+        merged = merged.groupBy("person", "day").agg(
+            F.min("first_in").alias("first_in"), F.max("last_out").alias("last_out"), F.sum("punches").alias("punches")
+        )
+        merged.write.mode("overwrite").parquet(f"{pending}/batch={newest}")
+        _copy_merged(spark, pending, settled, register, newest)
+
+
+def _copy_merged(spark: SparkSession, pending: str, settled: str, register: str, batch: int) -> int:
+    """Replace the register's days by the merged ones, then mark all batches up to ``batch`` as settled."""
+    write_register(spark.read.parquet(f"{pending}/batch={batch}"), register)
+    spark.range(1).write.mode("overwrite").parquet(f"{settled}/batch={batch}")
+    return batch
 
 
 def _numbers(spark: SparkSession, path: str, finished: bool = False) -> list[int]:

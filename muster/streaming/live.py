@@ -34,13 +34,16 @@ def live_dedup(stream: DataFrame, lateness: timedelta, salts: int = 1) -> DataFr
     State is kept per punch id and dropped by the watermark, so it is bounded by
     the punches of that span. All copies of an id meet in one task. Where one id
     may be sent very often, ``salts`` above 1 first drops copies in that many
-    tasks, so that at most one copy per salt meets; it doubles the state.
+    tasks, so that at most one copy per salt meets; it doubles the state. Punches without an
+    id are copies of each other only where all columns are equal.
     """
     rows = stream.withWatermark("ts", seconds(lateness))
+    without_id = F.when(F.col("punch_id").isNull(), F.to_json(F.struct(*stream.columns)))
+    rows = rows.withColumn("_row", F.sha2(without_id, 256))
     if salts > 1:
         salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        rows = salted.dropDuplicatesWithinWatermark(["punch_id", "_salt"]).drop("_salt")
-    return rows.dropDuplicatesWithinWatermark(["punch_id"])
+        rows = salted.dropDuplicatesWithinWatermark(["punch_id", "_row", "_salt"]).drop("_salt")
+    return rows.dropDuplicatesWithinWatermark(["punch_id", "_row"]).drop("_row")
 
 
 def live_sessions(stream: DataFrame, gap: timedelta, lateness: timedelta) -> DataFrame:
