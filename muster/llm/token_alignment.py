@@ -6,8 +6,9 @@ a space in front. Their tokens are laid over its UTF-8 bytes: the offsets where
 of both end cut them into groups, and the tokens that end there are linked.
 
 A text falls into chunks before each blank or line end that follows another character
-than white space. No token of either tokenizer reaches over such a place, so a chunk's
-groups and links are those of the whole text, and a worker keeps those it has met.
+than white space, and around the stops that follow a word of letters. No token of either
+tokenizer reaches over such a place, so a chunk's groups and links are those of the
+whole text, and a worker keeps those it has met.
 
 One row is written per block of texts: measures that need no counts, the block's id
 pairs, and how often each is linked in each text. Pairs are summed over all blocks,
@@ -41,8 +42,10 @@ from tokenizers import Tokenizer
 from muster.llm.common import blocks, texts, written
 
 MARK = "▁"
-# A cut lies before a blank or line end that follows neither.
-CHUNKS = r"[ \n]+[^ \n]*(?:(?<=\s)[ \n]+[^ \n]*)*"
+# A cut lies before a blank or line end that follows neither, and between a letter and a
+# stop if all up to the next such cut are stops.
+LETTERS, STOPS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+CHUNKS = rf"[ \n][{LETTERS}]++(?=[{STOPS}]*(?:[ \n]|\Z))|(?<=[{LETTERS}])[{STOPS}]+(?=[ \n]|\Z)|[ \n]+[^ \n]*(?:(?<=\s)[ \n]+[^ \n]*)*"
 CACHED = 400_000
 # An id pair as one number: a * PAIR + b.
 PAIR = 1 << 24
@@ -81,37 +84,43 @@ class Pair:
         self.a = Tokenizer.from_str(byte_model)
         self.a.encode_special_tokens = True
         letter = byte_letters()
-        self.a_bytes = {i: bytes(letter[c] for c in t) if set(t) <= set(letter) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocab = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.a_bytes[i] = bytes(letter[c] for c in t) if set(t) <= set(letter) else t.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.mark = self.b.piece_to_id(MARK)
-        if any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in pieces):
-            raise ValueError("a piece reaches over a blank or line end")
+        if any(re.search(f"[^{MARK}]{MARK}|\n|[{LETTERS}][{STOPS}]", p) for p in pieces):
+            raise ValueError("a piece reaches over a cut")
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.names = list(map(str, range(max(len(self.a_bytes), len(pieces)))))
 
     def encode(self, chunks: Sequence[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of chunks, each of which begins with a blank or line end."""
+        """Ids of chunks, each of which begins with a blank, a line end or a stop."""
         left = self.a.encode_batch(list(chunks), add_special_tokens=False)
-        # A blank in front is the one that B adds; a line end merges with nothing before it.
-        right = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        # A blank in front is the one that B adds; a line end merges with nothing.
+        right = self.b.encode([c[1:] if c[0] == " " else c if c[0] == "\n" else "\n" + c for c in chunks], num_threads=1)
         for c, x, y in zip(chunks, left, right):
-            yield x.ids, [self.mark] if c == " " else y if c[0] == " " else y[1:]
+            yield x.ids, [self.mark] if c == " " else y if c[0] == " " else y[1:] if c[0] == "\n" else y[2:]
 
     def align(self, chunk: str, x: Sequence[int], y: Sequence[int]) -> tuple[str, list[int]] | None:
         """The groups as text and a number for each link; None if the tokens are not the chunk's bytes."""
-        a, b = [self.a_bytes[i] for i in x], [self.b_bytes[i] for i in y]
         raw = chunk.encode()
-        if b"".join(a) != raw or b"".join(b) != raw:
+        if b"".join(map(self.a_bytes.__getitem__, x)) != raw or b"".join(map(self.b_bytes.__getitem__, y)) != raw:
             return None
-        a_end, b_end = list(accumulate(map(len, a))), list(accumulate(map(len, b)))
-        place = {e: j for j, e in enumerate(b_end)}
-        groups, links, i0, j0 = [], [], 0, 0
-        for i, e in enumerate(a_end):
-            j = place.get(e)
-            if j is not None:
-                groups.append(",".join(map(str, x[i0 : i + 1])) + "|" + ",".join(map(str, y[j0 : j + 1])))
-                links.append(x[i] * PAIR + y[j])
-                i0, j0 = i + 1, j + 1
+        place = dict(zip(accumulate(map(self.b_size.__getitem__, y)), range(1, len(y) + 1)))
+        xs, ys = [*map(self.names.__getitem__, x)], [*map(self.names.__getitem__, y)]
+        groups, links, i0, j0, i = [], [], 0, 0, 0
+        for e in accumulate(map(self.a_size.__getitem__, x)):
+            i += 1
+            if e in place:
+                j = place[e]
+                one = xs[i0] if i == i0 + 1 else ",".join(xs[i0:i])
+                groups.append(f"{one}|{ys[j0] if j == j0 + 1 else ','.join(ys[j0:j])}")
+                links.append(x[i - 1] * PAIR + y[j - 1])
+                i0, j0 = i, j
         return ";".join(groups), links
 
 
@@ -127,10 +136,22 @@ class Aligner:
         self.groups: list[str] = []
         self.count = np.zeros((0, 3), np.int64)  # tokens of A, of B, groups; -1 if there are none
         self.start, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keeps what was used more than once since the last time."""
+        kept = np.flatnonzero(self.uses > 1)
+        names, groups, count, start, flat = list(self.place), self.groups, self.count, self.start, self.flat
+        self.clear()
+        if len(kept) <= CACHED // 2:
+            self.place = {names[k]: i for i, k in enumerate(kept.tolist())}
+            self.groups, self.count = [groups[k] for k in kept.tolist()], count[kept]
+            size = start[kept + 1] - start[kept]
+            self.start = np.concatenate([[0], np.cumsum(size)])
+            self.flat = flat[np.repeat(start[kept] - self.start[:-1], size) + np.arange(int(size.sum()))]
+            self.uses = np.zeros(len(kept), np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.place) + len(chunks) > CACHED:
-            self.clear()
         count, flat, size = [], [], []
         for c, (x, y) in zip(chunks, self.pair.encode(chunks)):
             found = self.pair.align(c, x, y)
@@ -143,13 +164,15 @@ class Aligner:
         self.count = np.concatenate([self.count, np.array(count, np.int64).reshape(-1, 3)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(size, np.int64))])
         self.flat = np.concatenate([self.flat, np.array(flat, np.int64)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
 
     def __call__(self, some: Sequence[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Per text: counts of tokens and groups, digest of the groups; the links of all texts and their number in each."""
         split = [self.find(" " + t) for t in some]
         new = {c for s in split for c in s if c not in self.place}
-        if len(self.place) + len(new) > CACHED:  # the cache is emptied: all of these are learnt anew
-            new = {c for s in split for c in s}
+        if len(self.place) + len(new) > CACHED:
+            self._shrink()
+            new = {c for s in split for c in s if c not in self.place}
         if new:
             self._learn(list(new))
         at, digests = [], []
@@ -160,6 +183,7 @@ class Aligner:
             digests.append(hashlib.sha256(whole.encode()).hexdigest())
         sizes = np.array([len(x) for x in at])
         flat = np.concatenate(at) if at else np.zeros(0, np.int64)
+        self.uses += np.bincount(flat, minlength=len(self.uses))
         first = np.cumsum(sizes) - sizes
         own = self.count[flat]
         good = np.minimum.reduceat(own[:, 0], first) >= 0
