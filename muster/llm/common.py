@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import gc
+import sys
+import types
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -175,5 +178,23 @@ def rebuilt(kind: type, fields: dict) -> object:
     return out
 
 
+def worker_state(key: tuple | None = None, make: Callable[[], object] | None = None) -> object:
+    """What a Python worker keeps from task to task, made when first asked for.
+
+    Functions travel by value, so each task has globals of its own: what is to outlive a task
+    is held by the interpreter. Only one thing is kept. Asking for another one, or for
+    nothing, lets the one before go, so that one operator's cache never stands beside
+    the next operator's work; memory that libraries hold on to is then given back.
+    """
+    place = sys.modules.setdefault("_held_by_this_worker", types.ModuleType("_held_by_this_worker"))
+    if key is None or getattr(place, "key", None) != key:
+        place.key = place.value = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if make is not None:
+            place.key, place.value = key, make()
+    return getattr(place, "value", None)
+
+
 def session_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.common import U, Words, as_longs, blocks, mix, rebuilt, texts, windows, with_lower, written
+from muster.llm.common import U, Words, as_longs, blocks, mix, rebuilt, texts, windows, with_lower, worker_state, written
 from muster.llm.components import components
 
 WIDTH = 5
@@ -103,6 +103,7 @@ def may_link(a: int, b: int, x: np.ndarray, y: np.ndarray) -> bool:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows with how many distinct sets of a batch hold a token."""
+    worker_state()  # nothing is kept here: let go what another operator has left
     names = [f.split()[0] for f in PROFILE.split(", ")]
     for batch in batches:
         known: set[int] = set()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muster.llm.common import U, blocks, mix, rebuilt, texts
+from muster.llm.common import U, blocks, mix, rebuilt, texts, worker_state
 
 BUCKET_BITS = 16
 MAX_TRAIN_DOCS = 20_000
@@ -72,6 +72,7 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state()  # nothing is kept here: let go what another operator has left
     seen: dict[str, np.ndarray] = {}
     for batch in batches:
         _, offsets = texts(batch)
@@ -215,6 +216,7 @@ def predict(values: list[str | None], model: Model) -> tuple[list[str], np.ndarr
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, text_col: str) -> Iterator[pa.RecordBatch]:
+    worker_state()
     for batch in batches:
         _, offsets = texts(batch, text_col)
         for lo, hi in blocks(offsets):

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from muster.llm.chunks import ChunkCache
-from muster.llm.common import blocks, rebuilt, texts, written
+from muster.llm.common import blocks, rebuilt, texts, worker_state, written
 
 WINDOW = 4096
 END_ID = 2
@@ -118,15 +118,9 @@ def lowered(text: str) -> str:
     return text.lower()
 
 
-WORKER: dict[tuple, ChunkCache] = {}
-
-
 def _cache(model: str) -> ChunkCache:
     """One cache per Python worker and model; it outlives a task."""
-    key = ("word", hash(model))
-    if key not in WORKER:
-        WORKER[key] = ChunkCache(WordEncoder(model), CHUNKS)
-    return WORKER[key]
+    return worker_state(("word", hash(model)), lambda: ChunkCache(WordEncoder(model), CHUNKS))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], model: str, end_id: int) -> Iterator[pa.RecordBatch]:

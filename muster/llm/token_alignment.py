@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from muster.llm.common import blocks, texts, written
+from muster.llm.common import blocks, texts, worker_state, written
 
 MARK = "▁"
 # A cut lies before a blank or line end that follows neither, and between a letter and a
@@ -194,15 +194,9 @@ class Aligner:
         return counts, [d if g else "" for d, g in zip(digests, good.tolist())], self.flat[where], counts[:, 2]
 
 
-WORKER: dict[int, Aligner] = {}
-
-
 def _aligner(byte_model: str, piece_model: bytes) -> Aligner:
     """One per Python worker and pair of models; it outlives a task."""
-    key = hash((byte_model, piece_model))
-    if key not in WORKER:
-        WORKER[key] = Aligner(byte_model, piece_model)
-    return WORKER[key]
+    return worker_state(("align", hash((byte_model, piece_model))), lambda: Aligner(byte_model, piece_model))
 
 
 # ---- blocks of texts ----------------------------------------------------------------
