@@ -1,12 +1,22 @@
 """Sharding by balanced label propagation.
 
-Every document starts on a shard so that shard sizes differ by at most one row.
-Documents with equal text are linked through their text; in each round, joins
-give a group's documents the shard where most of the group already is, and they
-ask to move there. Moves are granted within quotas that leave every shard's row
-count as it is: a shard that gains movers returns as many unlinked documents,
-which cut no link wherever they are. A group larger than a part of a shard's
-capacity is first split by a hash of its documents, since no shard could hold it.
+Documents with equal text are linked through their text. Groups too large to be moved
+within a quota are placed first, largest first: each goes whole to the shard whose
+room it fills best, and one that is larger than any room is split into as few parts as
+the rooms allow. There are at most ``LARGE`` such groups a shard, however many rows there are,
+so the driver may hold their list of sizes.
+
+All other documents start where room is left, so that shard sizes differ by at most one row.
+In each round, joins give a group's documents the shard where most of the group already is,
+and they ask to move there. Moves are granted within quotas that leave every shard's
+row count as it is: a shard that gains movers returns as many unlinked documents, which cut
+no link wherever they are. Every granted move brings a row to its group's shard, so rounds
+come to an end by themselves: they stop when two in a row grant nothing. Where a
+group is spread evenly, each round favours another shard, so that what one round could
+not grant may balance in the next.
+
+A group stays cut only where no room holds it, or where its shards have no unlinked
+documents left to return; ``cut_links`` counts such groups.
 
 The law is ``rows``: counts of any two shards differ by at most one.
 
@@ -17,15 +27,18 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.common import ranked, written
 
 SHARDS = 8
-MAX_ROUNDS = 6
-# A group is split into parts of at most this share of a shard.
-PART_OF_SHARD = 0.25
+# A group of more than this part of a shard is placed before the rounds.
+LARGE = 64
+GROUP = ["g", "text_crc32", "size"]
+STATE = ["doc_id", *GROUP, "linked", "shard"]
 
 
 def _state(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,29 +51,86 @@ def _state(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _groups(rows: DataFrame, shards: int) -> DataFrame:
-    """Adds ``part`` of a split group and ``linked``: whether another row has the same text."""
-    key = ["g", "text_crc32", "size"]
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    limit = max(2.0, rows.count() / shards * PART_OF_SHARD)
-    parts = sizes.select(*key, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("parts"))
-    joined = rows.join(parts, key, "left")
-    return joined.select(
-        *rows.columns,
-        F.col("parts").isNotNull().alias("linked"),
-        F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"),
-    )
-
+def place(sizes: list[int], rooms: list[int]) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """Shards and row counts for each of ``sizes``, and the room that is left.
 
-def _wishes(state: DataFrame) -> DataFrame:
+    Largest first, each where it leaves least room. What is larger than any room fills the
+    largest one; the rest of it is placed like a group of its own.
+    """
+    rooms, parts = list(rooms), [[] for _ in sizes]
+    queue = [(-n, i) for i, n in enumerate(sizes)]
+    heapq.heapify(queue)
+    while queue:
+        n, i = heapq.heappop(queue)
+        n = -n
+        fits = [s for s, room in enumerate(rooms) if room >= n]
+        s = min(fits, key=lambda s: (rooms[s], s)) if fits else max(range(len(rooms)), key=lambda s: (rooms[s], -s))
+        took = min(n, rooms[s])
+        rooms[s] -= took
+        parts[i].append((s, took))
+        if took < n:
+            heapq.heappush(queue, (took - n, i))
+    return parts, rooms
+
+
+def _upto(counts: list[tuple[int, int]], column: str) -> Column:
+    """The shard of a row by its rank: the first ``n`` rows to the first shard, and so on."""
+    out, end = F.when(F.lit(False), F.lit(0)), 0
+    for shard, n in counts:
+        end += n
+        out = out.when(F.col(column) < end, shard)
+    return out.cast("int")
+
+
+def _placed(rows: DataFrame, large: list, parts: list[list[tuple[int, int]]]) -> DataFrame:
+    """The rows of large groups with the shards of their groups' parts."""
+    spark, names = rows.sparkSession, "g long, text_crc32 long, size long"
+    both = [((r.g, r.text_crc32, r.size), p) for r, p in zip(large, parts)]
+    whole = F.broadcast(spark.createDataFrame([(*key, p[0][0]) for key, p in both if len(p) == 1], f"{names}, shard int"))
+    out = rows.join(whole, GROUP).select(*rows.columns, "shard")
+    ends = []
+    for key, p in both:
+        end = 0
+        for shard, n in p if len(p) > 1 else []:
+            ends.append((*key, shard, end, end + n))
+            end += n
+    if ends:
+        keys = F.broadcast(spark.createDataFrame(sorted({x[:3] for x in ends}), names))
+        own = ranked(written(rows.join(keys, GROUP, "left_semi"), "shard-split"), GROUP, ["doc_id"], "place")
+        # Ranges of ranks: fewer than there are large groups and shards together.
+        ranges = F.broadcast(spark.createDataFrame(ends, f"{names}, shard int, first long, last long"))
+        cut = own.join(ranges, GROUP).where("place >= first AND place < last")
+        out = out.unionByName(cut.select(*rows.columns, "shard"))
+    return out.select("doc_id", *GROUP, F.lit(True).alias("linked"), "shard")
+
+
+def _start(rows: DataFrame, shards: int) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of large groups, placed for good (none: null), and the others on their first shards."""
+    total = rows.count()
+    sizes = written(rows.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
+    # Fewer than shards * LARGE groups can be that large.
+    large = sizes.where(F.col("n") * (shards * LARGE) > total).collect()
+    large.sort(key=lambda r: (-r.n, r.g, r.text_crc32, r.size))
+    parts, rooms = place([r.n for r in large], [total // shards + (s < total % shards) for s in range(shards)])
+    others, placed = rows, None
+    if large:
+        placed = _placed(rows, large, parts)
+        keys = rows.sparkSession.createDataFrame([(r.g, r.text_crc32, r.size) for r in large], "g long, text_crc32 long, size long")
+        others = rows.join(F.broadcast(keys), GROUP, "left_anti").select(*rows.columns)
+    told = others.join(sizes.select(*GROUP, F.lit(True).alias("more")), GROUP, "left")
+    small = told.select(*rows.columns, F.col("more").isNotNull().alias("linked"))
+    # In an order that says nothing of the groups: bringing them together is the rounds' work.
+    dealt = ranked(written(small, "shard-small"), [], [F.xxhash64("doc_id", "g"), "doc_id", *GROUP], "place")
+    return placed, dealt.withColumn("shard", _upto(list(enumerate(rooms)), "place")).select(*STATE)
+
+
+def _wishes(state: DataFrame, turn: int) -> DataFrame:
     """Adds ``to``: the shard where most of the row's group is, for linked rows elsewhere; else null."""
-    key = ["g", "text_crc32", "size", "part"]
-    linked = state.where("linked")
-    most = linked.groupBy(*key, "shard").agg(F.count("*").alias("n"))
-    # Ties go to the shard next in a hashed order, so that no shard is favoured.
-    order = F.struct("n", F.xxhash64("g", "part", "shard"), "shard")
-    best = most.groupBy(*key).agg(F.max(order).getField("shard").alias("best"))
-    joined = state.join(best, key, "left")
+    most = state.where("linked").groupBy(*GROUP, "shard").agg(F.count("*").alias("n"))
+    # Ties go to the shard next in a hashed order, another one each round.
+    order = F.struct("n", F.xxhash64("g", "shard", F.lit(turn)), "shard")
+    best = most.groupBy(*GROUP).agg(F.max(order).getField("shard").alias("best"))
+    joined = state.join(best, GROUP, "left")
     return joined.select(*state.columns, F.when(F.col("best") != F.col("shard"), F.col("best")).alias("to"))
 
 
@@ -110,7 +180,7 @@ def _moved(wishes: DataFrame, granted: dict, back: dict, wanted: dict) -> DataFr
             cuts.append((F.col("shard") == a) & (F.col("to") == b))
             new = new.when(cuts[-1], b)
     still = wishes.where(~F.coalesce(needs, F.lit(False)))
-    rest = still.select("doc_id", "size", "text_crc32", "g", "linked", "part", new.otherwise(F.col("shard")).cast("int").alias("shard"))
+    rest = still.select(*STATE[:-1], new.otherwise(F.col("shard")).cast("int").alias("shard"))
     if not partial and not back:
         return rest
     chosen = written(wishes.where(F.coalesce(needs, F.lit(False))).withColumn("kind", kind), "shard-movers")
@@ -124,27 +194,44 @@ def _moved(wishes: DataFrame, granted: dict, back: dict, wanted: dict) -> DataFr
             if x == a:
                 upto += n
                 new = new.when((F.col("shard") == a) & (F.col("kind") == 0) & (F.col("place") < upto), b)
-    return rest.unionByName(placed.select("doc_id", "size", "text_crc32", "g", "linked", "part", new.otherwise(F.col("shard")).cast("int").alias("shard")))
+    return rest.unionByName(placed.select(*STATE[:-1], new.otherwise(F.col("shard")).cast("int").alias("shard")))
 
 
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MAX_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot``: one row per document."""
     rows = written(_state(docs, id_col, text_col), "shard-rows")
-    grouped = written(_groups(rows, shards), "shard-groups")
-    start = ranked(grouped, [], ["g", "doc_id", "text_crc32", "size"], "place")
-    # Runs of equal texts start together: a block of ranks per shard would be uneven
-    # by a row at most as well, but dealing them out leaves all work to the rounds.
-    state = start.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).drop("place")
-    for round_ in range(max_rounds):
-        wishes = written(_wishes(written(state, "shard-state")), "shard-wishes")
-        # At most shards * shards rows reach the driver.
+    large, state = _start(rows, shards)
+    turn = idle = 0
+    while True:
+        wishes = written(_wishes(written(state, "shard-state"), turn), "shard-wishes")
+        # At most 2 * shards * (shards + 1) rows reach the driver.
         counts = wishes.groupBy("shard", "to", "linked").agg(F.count("*").alias("n")).collect()
         wanted = {(r.shard, r.to): r.n for r in counts if r.to is not None}
         free = [sum(r.n for r in counts if r.shard == s and not r.linked) for s in range(shards)]
         granted, back = grant(wanted, free)
-        if not granted:
+        idle = 0 if granted else idle + 1
+        state = _moved(wishes, granted, back, wanted) if granted else wishes.select(*STATE)
+        turn += 1
+        if not wanted or idle == 2 or granted == wanted:
             break
-        state = _moved(wishes, granted, back, wanted)
-    final = written(state, "shard-final")
+    final = written(state if large is None else state.unionByName(large.select(*STATE)), "shard-final")
     placed = ranked(final, ["shard"], ["g", "doc_id", "text_crc32", "size"], "slot")
     return placed.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
+
+
+def cut_links(placed: DataFrame) -> DataFrame:
+    """One row: groups of linked documents, those on more than one shard, links and cut links.
+
+    ``placed`` is a result of ``balanced_shards``. A link is a pair of documents with equal text.
+    """
+    pairs = F.col("n").cast("decimal(38,0)") * (F.col("n") - 1) / 2
+    key = ["text_crc32", "size"]
+    inside = placed.groupBy(*key, "shard").agg(F.count("*").alias("n"))
+    groups = inside.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("shards"), F.sum(pairs).alias("kept"))
+    linked = groups.where("n > 1").select("shards", "kept", pairs.alias("links"))
+    return linked.agg(
+        F.count("*").alias("groups"),
+        F.count_if(F.col("shards") > 1).alias("cut_groups"),
+        F.coalesce(F.sum("links"), F.lit(0)).cast("decimal(38,0)").alias("links"),
+        F.coalesce(F.sum(F.col("links") - F.col("kept")), F.lit(0)).cast("decimal(38,0)").alias("cut_links"),
+    )

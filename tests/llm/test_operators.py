@@ -414,16 +414,67 @@ def test_shards_are_even_and_keep_groups(spark, docs, given, odd, nothing):
     rows = [(i, "big group") for i in range(500)] + [(1000 + i, f"group {i % 50}") for i in range(300)] + [(5000 + i, f"single {i}") for i in range(800)]
     got = label_shards.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     check_shards(rows, got)
-    text = dict(rows)
-    cut = collections.defaultdict(set)
-    for r in got:
-        cut[text[r.doc_id]].add(r.shard)
-    assert sum(len(s) > 1 for t, s in cut.items() if t.startswith("group ")) <= 2 and len(cut["big group"]) <= 6
+    assert spread_groups(rows, got, "group ") == 0
+    assert len(shards_of(rows, got)["big group"]) == 3
     check_shards(given, label_shards.balanced_shards(docs).collect())
     check_shards(ODD, label_shards.balanced_shards(odd).collect())
     assert label_shards.balanced_shards(nothing).count() == 0
 
 
+def shards_of(rows, got):
+    text, out = dict(rows), collections.defaultdict(set)
+    for r in got:
+        out[text[r.doc_id]].add(r.shard)
+    return out
+
+
+def spread_groups(rows, got, prefix):
+    return sum(len(s) > 1 for t, s in shards_of(rows, got).items() if t.startswith(prefix))
+
+
+def test_a_group_that_fits_a_shard_stays_whole(spark):
+    sizes = {"a": 200, "b": 400, "c": 800, "d": 90, "e": 60}
+    texts = [t for t, n in sizes.items() for _ in range(n)]
+    texts += [f"pair {i % 500}" for i in range(1000)] + [f"single {i}" for i in range(4000 - len(texts) - 1000)]
+    rows = list(enumerate(texts))
+    placed = label_shards.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = placed.collect()
+    check_shards(rows, got)
+    on = shards_of(rows, got)
+    assert {t: len(on[t]) for t in sizes} == {"a": 1, "b": 1, "c": 2, "d": 1, "e": 1}
+    assert spread_groups(rows, got, "pair ") == 0
+    report = label_shards.cut_links(placed).collect()[0]
+    per = collections.Counter((dict(rows)[r.doc_id], r.shard) for r in got)
+    links = sum(n * (n - 1) // 2 for n in collections.Counter(texts).values())
+    kept = sum(n * (n - 1) // 2 for n in per.values())
+    assert (report.groups, report.cut_groups, report.links, report.cut_links) == (505, 1, links, links - kept)
+
+
+def test_groups_without_unlinked_rows_are_hardly_cut(spark):
+    rows = [(i, f"pair {i // 2}") for i in range(1600)]
+    got = label_shards.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(rows, got)
+    assert spread_groups(rows, got, "pair ") <= 40
+
+
+def test_large_groups_fill_rooms():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        rooms = [int(x) for x in rng.integers(0, 50, 8)]
+        sizes, left = [], sum(rooms)
+        while left and len(sizes) < 12:
+            sizes.append(int(rng.integers(1, min(left, 60) + 1)))
+            left -= sizes[-1]
+        parts, rest = label_shards.place(sizes, rooms)
+        assert [sum(n for _, n in p) for p in parts] == sizes and min(rest) >= 0
+        used = collections.Counter()
+        for p in parts:
+            assert len({s for s, _ in p}) == len(p)
+            used.update(dict(p))
+        assert all(rest[s] + used[s] == rooms[s] for s in range(8))
+    assert label_shards.place([10, 5], [8, 8, 8]) == ([[(0, 8), (1, 2)], [(1, 5)]], [0, 1, 8])
+
+
 def test_grants_keep_every_count():
     rng = np.random.default_rng(5)
     for _ in range(200):
