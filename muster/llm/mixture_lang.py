@@ -7,6 +7,11 @@ set of languages must pay for itself: the set with the best penalised likelihood
 (BIC in the number of words) is selected, and the language with the largest
 proportion in it is the prediction, that proportion the score.
 
+The set is found by search, not by trying all subsets: sets of the likeliest languages of every
+size, then single languages put in or taken out as long as that gains. No number of languages
+is a limit: sizes end where the bound on the likelihood of all languages together proves
+that no larger set can win.
+
 A model is trigram counts of hashed buckets, counted by Spark over the labelled rows;
 at most about ``max_docs`` rows of a language are used, chosen by a hash of the row.
 
@@ -34,7 +39,6 @@ BUCKET_BITS = 16
 MAX_TRAIN_DOCS = 20_000
 SMOOTHING = 0.5
 EM_STEPS = 20
-MAX_LANGUAGES = 4
 PENALTY = 1.0
 UNDETERMINED = "und"
 
@@ -165,7 +169,20 @@ def em(like: np.ndarray, counts: np.ndarray, allowed: np.ndarray, steps: int = E
     return share, np.add.reduceat(np.log(total) + peak[:, 0], first, dtype=np.float64)
 
 
-def infer(like: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS, max_languages: int = MAX_LANGUAGES, penalty: float = PENALTY) -> np.ndarray:
+def bound(like: np.ndarray, counts: np.ndarray, share: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """What no mixture's log-likelihood exceeds, from proportions EM has reached.
+
+    By Jensen's inequality another mixture gains at most, per word, the logarithm of the largest
+    mean ratio of one language's likelihood to the mixture's.
+    """
+    first = np.cumsum(counts) - counts
+    p = np.exp(like - like.max(axis=1, keepdims=True))
+    total = np.maximum((p * np.repeat(share, counts, axis=0)).sum(axis=1, keepdims=True), 1e-30)
+    ratio = np.add.reduceat(p / total, first, axis=0, dtype=np.float64).max(axis=1) / counts
+    return fit + counts * np.log(np.maximum(ratio, 1.0))
+
+
+def infer(like: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS, penalty: float = PENALTY) -> np.ndarray:
     """Language proportions of each text under its selected set; other languages have 0."""
     n, k = len(counts), like.shape[1]
     first = np.cumsum(counts) - counts
@@ -176,25 +193,45 @@ def infer(like: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS, max_langu
     if k == 1:
         return chosen
     full, top = em(like, counts, np.ones((n, k)), steps)
-    # No set can gain more than the set of all: where that doesn't pay for a second
-    # language, one it is.
+    top = bound(like, counts, full, top)
     price = penalty * np.log(counts + 1.0)
     value = 2 * alone[np.arange(n), best]
-    open_ = np.flatnonzero(2 * top - price > value)
-    if len(open_):
+    sets = chosen > 0
+    order = np.argsort(-full, axis=1, kind="stable")
+
+    def attempt(rows: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Tries a set for each of some texts; those of them that it has won."""
         mask = np.zeros(n, bool)
-        mask[open_] = True
-        own, c = like[np.repeat(mask, counts)], counts[open_]
-        order = np.argsort(-full[open_], axis=1, kind="stable")
-        value, price = value[open_], price[open_]
-        for size in range(2, min(k, max_languages) + 1):
-            allowed = np.zeros((len(open_), k))
-            np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-            share, fit = em(own, c, allowed, steps)
-            gain = 2 * fit - price * (size - 1)
-            better = gain > value
-            value = np.where(better, gain, value)
-            chosen[open_[better]] = share[better]
+        mask[rows] = True
+        share, fit = em(like[np.repeat(mask, counts)], counts[rows], allowed.astype(float), steps)
+        gain = 2 * fit - price[rows] * (allowed.sum(axis=1) - 1)
+        won = gain > value[rows] + 1e-6
+        value[rows[won]], chosen[rows[won]], sets[rows[won]] = gain[won], share[won], allowed[won]
+        return rows[won]
+
+    def open_to(size: int | np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The texts that a set of this size could win."""
+        return rows[2 * top[rows] - price[rows] * (size - 1) > value[rows]]
+
+    could = open_to(2, np.arange(n))
+    rows = could
+    for size in range(2, k + 1):
+        rows = open_to(size, rows)
+        if not len(rows):
+            break
+        allowed = np.zeros((len(rows), k), bool)
+        np.put_along_axis(allowed, order[rows, :size], True, axis=1)
+        attempt(rows, allowed)
+    while len(could):  # every win raises a text's value, of which there are finitely many
+        moved = []
+        for language in range(k):
+            allowed = sets[could].copy()
+            allowed[:, language] ^= True
+            size = allowed.sum(axis=1)
+            fine = (size > 0) & (2 * top[could] - price[could] * (size - 1) > value[could])
+            if fine.any():
+                moved.append(attempt(could[fine], allowed[fine]))
+        could = np.unique(np.concatenate(moved)) if moved else could[:0]
     return chosen
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -194,6 +195,48 @@ def test_em_equals_a_plain_version(docs):
         assert np.abs(got[0] - share).max() < 2e-3 and abs(value[0] - fit) < 1e-3 * abs(fit) + 0.05
 
 
+def best_set(own):
+    """Value and set of the best of all subsets of languages for a text's words, by plain EM."""
+    found = []
+    for size in range(1, own.shape[1] + 1):
+        for some in itertools.combinations(range(own.shape[1]), size):
+            like = own[:, some]
+            peak = like.max(axis=1, keepdims=True)
+            p, share = np.exp(like - peak), np.full(size, 1 / size)
+            for _ in range(400):
+                r = p * share
+                share = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            fit = (np.log((p * share).sum(axis=1)) + peak[:, 0]).sum()
+            found.append((2 * fit - np.log(len(own) + 1) * (size - 1), set(some), fit))
+    return max(found, key=lambda x: x[0]), max(x[2] for x in found)
+
+
+def test_language_sets_equal_brute_force():
+    rng = np.random.default_rng(12)
+    texts, kinds = [], []
+    for i in range(60):
+        size = 1 + i % 6
+        kinds.append(set(rng.choice(6, size, replace=False).tolist()))
+        made = rng.choice(list(kinds[-1]), int(rng.integers(40, 120)))
+        like = rng.normal(-20, 2, (len(made), 6))
+        like[np.arange(len(made)), made] += 6
+        texts.append(like.astype(np.float32))
+    counts = np.array([len(t) for t in texts])
+    got = mixture_lang.infer(np.concatenate(texts), counts, steps=200)
+    full, fit = mixture_lang.em(np.concatenate(texts), counts, np.ones((60, 6)), 5)
+    above = mixture_lang.bound(np.concatenate(texts), counts, full, fit)
+    same = 0
+    for i, own in enumerate(texts):
+        (value, languages, _), top = best_set(own.astype(float))
+        assert above[i] >= top - 1e-2
+        chosen = set(np.flatnonzero(got[i] > 0).tolist())
+        peak = own.max(axis=1, keepdims=True)
+        reached = (np.log((np.exp(own - peak) * got[i]).sum(axis=1)) + peak[:, 0]).sum()
+        assert 2 * reached - np.log(len(own) + 1) * (len(chosen) - 1) >= value - 0.5
+        same += chosen == languages
+    assert same >= 58 and max((got > 0).sum(axis=1)) == 6
+
+
 # ---- 4 ----------------------------------------------------------------------------
 
 
