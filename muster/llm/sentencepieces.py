@@ -3,9 +3,9 @@
 The model's protobuf is read here, and its normaliser, metaspace marker, scores and
 byte fallback are rebuilt as a tokenizer of that library: a unigram model keeps its
 scores, a BPE model gets its merges back, since a piece's rank is its score.
-Batches are encoded with several threads, each distinct chunk once, and every
-chunk's ids are held against the sentencepiece library; where they differ, which
-``n_mismatched`` counts, sentencepiece's ids are taken.
+Batches are encoded with several threads, each distinct chunk once. The ids are that
+tokenizer's alone; the sentencepiece library encodes every chunk as well, and
+``n_mismatched`` counts a text's chunks for which the two differ.
 
 Texts are cut into chunks before each marker, which changes no ids as long as no
 piece holds a marker behind another character; a model that has one is encoded
@@ -198,11 +198,10 @@ class Codec:
         found = [e.ids for e in self.tokenizer.encode_batch(list(chunks), add_special_tokens=False)]
         # sentencepiece puts the prefix on by itself.
         plain = [c.replace(MARK, " ")[self.model.dummy_prefix :] if self.model.mark_spaces else c for c in chunks]
-        right = self.judge.encode(plain, num_threads=1)
+        judged = self.judge.encode(plain, num_threads=1)
         # A lone mark can't be asked for: it would be the prefix of an empty text.
-        right = [b if p else a for p, a, b in zip(plain, found, right)]
-        self.wrong.update(c for c, a, b in zip(chunks, found, right) if a != b)
-        return right
+        self.wrong.update(c for c, p, a, b in zip(chunks, plain, found, judged) if p and a != b)
+        return found
 
     def normal(self, text: str) -> str:
         if not text or self.model.charsmap or self.model.trim_spaces:

@@ -102,6 +102,20 @@ def test_unigram_model_is_rebuilt():
     assert codec.tokenizer.encode("▁ab").ids == judge.encode("ab")
 
 
+def test_ids_are_the_rebuilt_tokenizers_and_differences_are_counted():
+    class Other:
+        def encode(self, texts, num_threads):
+            return [[0] if "x" in t else right.encode(t) for t in texts]
+
+    with open(sentencepieces.model_file(), "rb") as f:
+        codec = sentencepieces.Codec(f.read(), 1)
+    right, codec.judge = codec.judge, Other()
+    texts = ["an axe and a box", "nothing wrong here", ""]
+    _, flat, counts, wrong = codec.encode(texts)
+    assert flat.tolist() == [i for t in texts for i in right.encode(t)] and counts.tolist() == [len(right.encode(t)) for t in texts]
+    assert wrong == [2, 0, 0]
+
+
 def test_models_of_other_kinds_are_refused():
     with pytest.raises(ValueError):
         sentencepieces.read_model(b"\x12\x02\x18\x03")
