@@ -40,6 +40,10 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 NEAR_WORDS = 10
+# Matches of a text whose places are found together.
+PIECE = 512
+# Code points of a text that are cut out together.
+STRETCH = 4096
 MIN_TERM_LENGTH = 4
 MIN_TOGETHER = 3
 MIN_BITS = 6.0
@@ -85,14 +89,47 @@ def _found(text: Column, kind: str) -> Column:
     return hits if hint is None else F.when(F.contains(text, F.lit(hint)), hits).otherwise(F.array().cast("array<string>"))
 
 
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _scan(values: Column, first: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of ``first`` and all values up to each place."""
+    start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return _bound(join(acc["at"], x), lambda at: F.struct(at.alias("at"), F.concat(acc.out, F.array(at)).alias("out")))
+
+    return F.aggregate(values, start, step, lambda acc: acc.out)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running totals, or running maxima, of an array of counts; 0 is neutral for ``join``.
+
+    An array that grows value by value is copied each time, so only pieces of ``PIECE``
+    values and one total for each piece are gone through in that way.
+    """
+    zero = F.lit(0)
+
+    def lifted(pieces: Column) -> Column:
+        totals = F.transform(pieces, lambda p: F.aggregate(p, zero, join))
+        before = _bound(_scan(totals, zero, join), lambda ends: F.concat(F.array(zero), F.slice(ends, F.lit(1), F.size(ends) - 1)))
+        return F.flatten(F.zip_with(pieces, before, lambda p, at: _scan(p, at, join)))
+
+    def cut(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(PIECE))
+        return _bound(F.transform(starts, lambda i: F.slice(v, i, F.lit(PIECE))), lifted)
+
+    return _bound(values, cut)
+
+
 def _places(hits: Column, between: Column) -> Column:
     """Where each match starts, in code points: the lengths before it added up."""
     n = F.size(hits)
     before = F.concat(F.array(F.lit(0)), F.transform(F.slice(hits, F.lit(1), n - 1), F.length))
     gaps = F.transform(F.slice(between, F.lit(1), n), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, x: F.struct((acc.at + x).alias("at"), F.concat(acc.out, F.array(acc.at + x)).alias("out"))
-    return F.aggregate(F.zip_with(gaps, before, lambda a, b: a + b), start, step, lambda acc: acc.out)
+    return running(F.zip_with(gaps, before, lambda a, b: a + b), lambda a, b: a + b)
 
 
 def _spans(hits: Column, between: Column, kind: int, valid: Callable[[Column], Column], label: Callable[[Column], Column]) -> Column:
@@ -221,25 +258,23 @@ def spans_text(spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span's text replaced by its label; overlapping spans become one, labelled as the first."""
     found = find_spans(docs, id_col, text_col)
-    # Disjoint spans, each with the end of the one before.
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lead:int,start:int,end:int,label:string>>").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        fresh = F.struct(
-            s.end.alias("at"),
-            F.concat(acc.out, F.array(F.struct(acc["at"].alias("lead"), s.start.alias("start"), s.end.alias("end"), s.label.alias("label")))).alias("out"),
-        )
-        # A span that begins inside the one before: only what it adds goes as well.
-        longer = F.struct(
-            F.greatest(acc["at"], s.end).alias("at"),
-            F.concat(acc.out, F.array(F.struct(acc["at"].alias("lead"), acc["at"].alias("start"), s.end.alias("end"), F.lit("").alias("label")))).alias("out"),
-        )
-        return F.when(s.start >= acc["at"], fresh).when(s.end > acc["at"], longer).otherwise(acc)
-
-    merged = F.aggregate("all_spans", none, add)
     text = F.col(text_col)
-    cut = found.withColumn("__cut", F.when(F.size("all_spans") > 0, merged))
-    body = F.transform(F.col("__cut.out"), lambda s: F.concat(F.substring(text, s.lead + 1, s.start - s.lead), s.label))
-    rest = F.substring(text, F.col("__cut.at") + 1, F.length(text))
-    new = F.when(F.col("__cut").isNull(), text).otherwise(F.concat(F.array_join(body, ""), rest))
-    return cut.withColumn(text_col, new).drop("__cut", "base_spans", "all_spans")
+    # A span's text goes from where the ones before it have ended; one that lies within them adds nothing.
+    ends = running(F.transform("all_spans", lambda s: s.end), lambda a, b: F.greatest(a, b))
+    many = F.size("all_spans") > 0
+    cut = found.withColumn("__ends", F.when(many, ends))
+    before = F.concat(F.array(F.lit(0)), F.slice("__ends", F.lit(1), F.size("__ends") - 1))
+    cut = cut.withColumn("__before", F.when(many, before))
+    joined = F.zip_with("all_spans", "__before", lambda s, at: F.struct(at.alias("lead"), s.start.alias("start"), s.label.alias("label")))
+    # A place in a string is found by counting from its start: stretches of equal length keep that short.
+    cut = cut.withColumn("__stretches", F.when(many, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
+
+    def part(start: Column, end: Column) -> Column:
+        first, last = F.floor(start / STRETCH).cast("int"), F.floor(end / STRETCH).cast("int")
+        own = F.array_join(F.slice("__stretches", first + 1, last - first + 1), "")
+        return F.substring(own, start - first * STRETCH + 1, end - start)
+
+    kept = F.transform(joined, lambda s: F.when(s.start >= s.lead, F.concat(part(s.lead, s.start), s.label)).otherwise(F.lit("")))
+    rest = part(F.element_at("__ends", -1), F.length(text))
+    new = F.when(F.col("__ends").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), rest))
+    return cut.withColumn(text_col, new).drop("__ends", "__before", "__stretches", "base_spans", "all_spans")

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -584,6 +585,26 @@ def test_base_spans(spark, docs, given):
     assert disclosure.find_spans(docs.limit(0)).count() == 0
 
 
+def test_running_totals_and_maxima(spark):
+    rng = np.random.default_rng(4)
+    arrays = [rng.integers(0, 50, n).tolist() for n in (0, 1, 2, 511, 512, 513, 1024, 3000)]
+    df = spark.createDataFrame(list(enumerate(arrays)), "i int, v array<int>")
+    total, most = disclosure.running(F.col("v"), lambda a, b: a + b), disclosure.running(F.col("v"), lambda a, b: F.greatest(a, b))
+    got = {r.i: r for r in df.select("i", total.alias("total"), most.alias("most")).collect()}
+    for i, v in enumerate(arrays):
+        assert got[i].total == np.cumsum(v).tolist() and got[i].most == np.maximum.accumulate(np.array(v, int)).tolist()
+
+
+def test_a_text_with_very_many_matches(spark):
+    text = "x 10.20.30.40 a@b.cd " * 40_000
+    df = spark.createDataFrame([(1, text), (2, "+49 (30) 1234567.89 a@b.c")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in disclosure.find_spans(df).select("doc_id", F.size("base_spans").alias("n"), F.get("base_spans", 79_999).start.alias("last")).collect()}
+    assert (got[1].n, got[1].last) == (80_000, len(text) - 7)
+    assert {r.text for r in disclosure.sanitise(df).collect()} == {"x [IP] [EMAIL] " * 40_000, "[PHONE] [EMAIL]"}
+    assert time.monotonic() - began < 120
+
+
 def test_terms_that_give_an_entity_away(spark):
     rows = [(i, f"letter {i} from Zanthrop to someone at j.doe@mail.example about matter{i % 3}") for i in range(6)]
     rows += [(100 + i, f"letter {i} from someone about matter{i % 3}, no name in it at line {i}") for i in range(600)]
