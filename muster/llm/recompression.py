@@ -11,11 +11,12 @@ From these edges each window of ``WINDOW`` words gets its anchor: of the symbols
 are the same in every occurrence of the window, the one of the highest level
 and least name. Neighbouring windows mostly share an anchor, so one row per anchor
 goes through the shuffle instead of one per word. Rows with the same anchor meet in
-order of document and place; a window there is verified by the hash of all its words
-and is a repeat if it was met before.
+order of document and place. Two windows are the same if their anchors' names, the
+anchors' places in them and the 64-bit hashes of all their words agree; the one met later is a
+repeat. Of a name, 32 bits go along: anchors that share these meet, but no more than that.
 
-Repeats inside a batch of documents are found before the shuffle, and only the first
-of them is sent on. Removal is judged on the input: every word covered by a window
+Repeats inside a batch of documents are found in the same way before the shuffle and
+verified word by word, and only the first of them is sent on. Removal is judged on the input: every word covered by a window
 that also starts earlier goes.
 
 A row is known by its id and a 64-bit hash of its text: marks made for one row never
@@ -36,14 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.common import STEP, U, Words, as_longs, blocks, mix, session_parallelism, texts, windows, written
+from muster.llm.common import STEP, U, Words, blocks, mix, session_parallelism, texts, windows, written
 
 WINDOW = 20
 ROUNDS = 3
 # Longest symbol in words: a window always holds some symbol whole.
 LONGEST = 6
-# Bytes of a window's hash, beside its anchor's eight.
-HASH_BYTES = 6
 # Bytes of text whose windows are in a task's memory together, at some hundred bytes a word.
 EMIT_BYTES = 3 << 20
 
@@ -157,9 +156,34 @@ def choose(level: Level, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, name:
 
 # ---- in tasks -------------------------------------------------------------------
 
-ROWS = "name long, doc long, th long, place int, ahead int, count int, hashes binary"
-NAMES = ["name", "doc", "th", "place", "ahead", "count", "hashes"]
+# ``span`` holds the first window's place above bit 33, the words it has ahead of its anchor (fewer
+# than 20) above bit 28, and the number of windows. Rows of known repeats have no hashes and
+# no anchor, and all 33 bits for the number.
+ROWS = "name int, doc long, th long, span long, hashes binary"
+NAMES = ["name", "doc", "th", "span", "hashes"]
 MARKS = ["doc", "th", "place", "count"]
+PLACE, AHEAD = 33, 28
+
+
+def _short(name: np.ndarray) -> np.ndarray:
+    """The 32 bits of a name that rows are dealt by."""
+    return (name >> U(32)).astype(np.uint32).view(np.int32)
+
+
+def _first(name: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each window, the first of those with its anchor's name and its key."""
+    order = np.lexsort((key, name))  # stable: the first of equal ones stays in front
+    name, key = name[order], key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (name[1:] != name[:-1]) | (key[1:] != key[:-1])
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return head
+
+
+def _key(hashes: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """A window's hash and its anchor's place in it, as one value."""
+    return mix(hashes ^ mix(ahead.astype(U) + U(3)))
 
 
 def _runs(doc: np.ndarray, place: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,16 +198,25 @@ def _runs(doc: np.ndarray, place: np.ndarray, *more: np.ndarray) -> tuple[np.nda
     return start, np.diff(np.append(start, len(doc)))
 
 
-def _flags(doc: np.ndarray, th: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Repeated windows as runs; their name only spreads them."""
+def _flags(doc: np.ndarray, th: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Repeated windows as runs: document, text, first place, number."""
     order = np.lexsort((place, th, doc))
     doc, th, place = doc[order], th[order], place[order]
     start, count = _runs(doc, place, th)
-    doc, th = doc[start], th[start]
-    nothing = pa.nulls(len(start), pa.binary())
-    spread = as_longs(mix(doc.astype(U) ^ mix(th.astype(U))))
-    arrays = [spread, doc, th, place[start].astype(np.int32), np.zeros(len(start), np.int32), count.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([*[pa.array(a) for a in arrays], nothing], NAMES)
+    return doc[start], th[start], place[start], count
+
+
+def _known(*later: np.ndarray) -> pa.RecordBatch:
+    """Rows of repeats found before the shuffle; their name only spreads them."""
+    doc, th, place, count = _flags(*later)
+    spread = _short(mix(doc.astype(U) ^ mix(th.astype(U))))
+    arrays = [pa.array(a) for a in (spread, doc, th, (place << PLACE) | count)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(doc), pa.binary())], NAMES)
+
+
+def _marks(doc: np.ndarray, th: np.ndarray, place: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(doc), pa.array(th), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, MARKS)
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,23 +235,29 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranks[np.lexsort((hashed[lo:hi], ids[lo:hi]))] = np.arange(hi - lo)
             own, place = ranks[doc[valid]], valid - words.at[doc[valid]]
             # Windows of the block in order of document and place; of equal ones the first goes on.
+            name, at = anchors(words.code, doc, valid)
+            ahead = at - valid
+            key = _key(hashes[valid], ahead)
             order = np.lexsort((place, own))
-            _, first, index = np.unique(hashes[valid][order], return_index=True, return_inverse=True)
-            head = order[first[index]]
-            later = np.zeros(len(valid), bool)
-            later[order] = (own[order] != own[head]) | (place[order] != place[head])
+            head = np.empty(len(order), np.int64)
+            head[order] = order[_first(name[order], key[order])]
+            later = np.flatnonzero(head != np.arange(len(head)))
+            same = np.ones(len(later), bool)
+            for i in range(WINDOW):
+                same &= words.code[valid[later] + i] == words.code[valid[head[later]] + i]
+            later = later[same]
             of = lo + doc[valid]
-            if later.any():
-                yield _flags(ids[of[later]], hashed[of[later]], place[later])
-            name, at = anchors(words.code, doc, valid)
-            keep = np.flatnonzero(~later)
+            if len(later):
+                yield _known(ids[of[later]], hashed[of[later]], place[later])
+            keep = np.delete(np.arange(len(valid)), later)
             start, count = _runs(doc[valid[keep]], place[keep], at[keep], name[keep])
             begin = keep[start]
-            raw = (hashes[valid[keep]] >> U(64 - 8 * HASH_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
-            cut = np.append(start, len(keep)).astype(np.int64) * HASH_BYTES
+            raw = hashes[valid[keep]].astype("<u8").tobytes()
+            cut = np.append(start, len(keep)).astype(np.int64) * 8
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cut), pa.py_buffer(raw)])
-            arrays = [as_longs(name[begin]), ids[of[begin]], hashed[of[begin]], place[begin].astype(np.int32), (at[begin] - valid[begin]).astype(np.int32), count.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(a) for a in arrays], packed.cast(pa.binary())], NAMES)
+            span = (place[begin] << PLACE) | (ahead[begin] << AHEAD) | count
+            arrays = [pa.array(a) for a in (_short(name[begin]), ids[of[begin]], hashed[of[begin]], span)]
+            yield pa.RecordBatch.from_arrays([*arrays, packed.cast(pa.binary())], NAMES)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,24 +272,20 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         flagged = batch.column("hashes").is_null().to_numpy(zero_copy_only=False)
         if flagged.any():
-            known = batch.filter(pa.array(flagged))
-            yield known.select(MARKS)
+            doc, th, span = (batch.column(c).to_numpy()[flagged] for c in ("doc", "th", "span"))
+            yield _marks(doc, th, span >> PLACE, span & ((1 << PLACE) - 1))
         rows = batch.filter(pa.array(~flagged))
         if not rows.num_rows:
             continue
-        name, doc, th = (rows.column(c).to_numpy() for c in ("name", "doc", "th"))
-        place, ahead, count = (rows.column(c).to_numpy().astype(np.int64) for c in ("place", "ahead", "count"))
+        name, doc, th, span = (rows.column(c).to_numpy() for c in ("name", "doc", "th", "span"))
+        place, ahead, count = span >> PLACE, (span >> AHEAD) & ((1 << PLACE - AHEAD) - 1), span & ((1 << AHEAD) - 1)
         _, offsets, raw = rows.column("hashes").buffers()
-        lo = np.frombuffer(offsets, np.int32)[rows.column("hashes").offset]
-        short = np.frombuffer(raw, np.uint8)[lo : lo + int(count.sum()) * HASH_BYTES].reshape(-1, HASH_BYTES)
-        value = np.zeros((len(short), 8), np.uint8)
-        value[:, :HASH_BYTES] = short
-        value = value.view("<u8").ravel().astype(U)
+        lo = int(np.frombuffer(offsets, np.int32)[rows.column("hashes").offset])
+        value = np.frombuffer(raw[lo : lo + int(count.sum()) * 8], "<u8").astype(U)
         row = np.repeat(np.arange(len(name)), count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         own, hashed, at = doc[row], th[row], place[row] + step
-        # The window's place relative to its anchor is part of what must agree.
-        key = mix(value ^ mix((ahead[row] - step).astype(U) + U(3)))
+        key = _key(value, ahead[row] - step)
         group = name[row]
         if held_name is not None and group[0] == held_name:
             carried = len(held[0])
@@ -258,13 +293,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = np.concatenate([np.full(carried, held_name), group])
         else:
             carried = 0
-        both = mix(key ^ mix(group.astype(U)))
-        _, first, index = np.unique(both, return_index=True, return_inverse=True)
-        head = first[index]
-        later = (own != own[head]) | (hashed != hashed[head]) | (at != at[head])
+        head = _first(group, key)
+        later = head != np.arange(len(head))
         later[:carried] = False
         if later.any():
-            yield _flags(own[later], hashed[later], at[later]).select(MARKS)
+            yield _marks(*_flags(own[later], hashed[later], at[later]))
         held_name = group[-1]
         last = np.unique(head[group == held_name])
         held = (key[last], own[last], hashed[last], at[last])
@@ -321,7 +354,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc.alias("doc"), th.alias("th"), F.col(text_col).alias("text"))
     rows, others = _once(rows)
     sent = rows.select("doc", "th", "text").mapInArrow(_emit, ROWS)
-    met = sent.repartition(session_parallelism(spark), "name").sortWithinPartitions("name", "doc", "th", "place")
+    met = sent.repartition(session_parallelism(spark), "name").sortWithinPartitions("name", "doc", "th", "span")
     flags = met.mapInArrow(_judge, "doc long, th long, place int, count int")
     marks = flags.groupBy("doc", "th").agg(F.collect_list(F.struct("place", "count")).alias("marks"))
     joined = rows.join(marks, ["doc", "th"], "left").select("doc_id", "text", "marks")
