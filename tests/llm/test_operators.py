@@ -378,6 +378,16 @@ def test_base_rules(docs, given, odd, nothing):
     assert not any(r.kept for r in perplexity.rate(odd).collect() if r.base_failed)
 
 
+def test_the_model_reaches_the_workers_whole(spark):
+    rows = [(i, f"{'the cat sat on the mat ' * 12} 𐌰𐌱 {i}", None if i == 2 else "en") for i in range(6)]
+    df = spark.createDataFrame([*rows, (6, None, "en")], "doc_id long, text string, lang string")
+    tables = perplexity.train(df)
+    want = perplexity.log_perplexity(tables, [t for _, t, _ in rows])
+    got = {r.doc_id: r.log_ppl for r in perplexity.rate(df).collect()}
+    assert got.pop(6) is None
+    assert np.allclose([got[i] for i, *_ in rows], want)
+
+
 def plain_kneser_ney(texts):
     """Probability of every 4-gram by the textbook recursion over dictionaries."""
     grams = collections.Counter()
