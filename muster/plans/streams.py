@@ -34,6 +34,8 @@ DELIVERY_DAY = date(2024, 1, 16)
 
 
 WAVES = 5
+# Events to each part of a stream's state.
+STATE_ROWS = 250_000
 # The closing record: of a person who is none (not null: a join's filter on null persons
 # would keep it from the watermark), long after all others, so that the watermark passes everything.
 CLOSING_ID, CLOSING_AFTER = -1, timedelta(days=60)
@@ -43,10 +45,20 @@ def _wall_clock(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
+def state_parts(spark: SparkSession, events: int) -> str:
+    """Parts of a stream's state: one per core, or as many as the events need, within the session's number.
+
+    Every batch opens, commits and cleans each part, whatever it holds; Spark merges no small ones here.
+    """
+    needed = max(spark.sparkContext.defaultParallelism, -(-events // STATE_ROWS))
+    return str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), needed))
+
+
 @contextmanager
-def _settings(spark: SparkSession):
+def _settings(spark: SparkSession, **more: str):
     """What streams need of a session, whoever made it: wall clock in UTC, state on disk, sessions merged early."""
     needed = {
+        **more,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
@@ -93,8 +105,8 @@ def stream_all(
     opens a last window, session or stay that is never emitted; where records themselves
     are the result, it is the one that is later than all events.
     """
-    with _settings(spark):
-        newest = table(spark, folder, "events").agg(F.max("ts")).first()[0]
+    newest, size = table(spark, folder, "events").agg(F.max("ts"), F.count("*")).first()
+    with _settings(spark, **{"spark.sql.shuffle.partitions": state_parts(spark, size)}):
         inbox, out = scratch(spark, "inbox"), scratch(spark, name)
         for wave in waves(spark, folder, closings):
             wave.write.mode("append").parquet(inbox)

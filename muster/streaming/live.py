@@ -75,8 +75,10 @@ def live_unmatched(
     slice of time only the first and the last matter: the last one tells whether
     any follows a check-in of the same slice, the first one whether any falls in a
     later slice before the bound is over. So check-outs are reduced to one row per
-    person and slice, and a check-in meets at most ``slices + 1`` rows, however
-    many check-outs there are. The answer comes one slice after the bound.
+    person and slice. Check-ins and slices meet by person and period of ``within``;
+    a slice serves its own period and the one before, so it is held twice, and a
+    check-in meets at most ``2 * slices`` rows, however many check-outs there are.
+    The answer comes one slice after the bound.
     """
     width = int(within.total_seconds()) // slices
     if width * slices != within.total_seconds():
@@ -86,7 +88,10 @@ def live_unmatched(
     def slice_of(ts):
         return F.call_function("div", F.unix_seconds(ts), F.lit(width))
 
-    ins = ins.withWatermark("ts", delay).withColumn("_slice", slice_of(F.col("ts")))
+    def period_of(slice_):
+        return F.call_function("div", slice_, F.lit(slices))
+
+    ins = ins.withWatermark("ts", delay).withColumn("_slice", slice_of(F.col("ts"))).withColumn("_period", period_of(F.col("_slice")))
     bounds = (
         outs.withWatermark("ts", delay)
         .groupBy("person", F.window("ts", f"{width} seconds").alias("_w"))
@@ -97,16 +102,18 @@ def live_unmatched(
             "_first",
             "_last",
             slice_of(F.col("_w.start")).alias("_out_slice"),
-            F.explode(F.sequence(F.lit(0), F.lit(slices))).alias("_back"),
         )
+        .select("*", F.explode(F.array(period_of(F.col("_out_slice")), period_of(F.col("_out_slice")) - 1)).alias("_served"))
     )
     end = F.col("ts") + F.expr(f"INTERVAL {width * slices} SECONDS")
     match = (
         (F.col("person") == F.col("_person"))
-        & (F.col("_slice") == F.col("_out_slice") - F.col("_back"))
-        & F.when(F.col("_back") == 0, F.col("_last") > F.col("ts")).otherwise(F.col("_first") <= end)
+        & (F.col("_period") == F.col("_served"))
+        & F.when(F.col("_slice") == F.col("_out_slice"), F.col("_last") > F.col("ts")).otherwise(
+            (F.col("_slice") < F.col("_out_slice")) & (F.col("_first") <= end)
+        )
         & (F.col("_time") >= F.col("ts"))
         & (F.col("_time") <= F.col("ts") + F.expr(f"INTERVAL {width * (slices + 1)} SECONDS"))
     )
     joined = ins.join(bounds, match, "leftOuter")
-    return joined.filter(F.col("_person").isNull()).select([c for c in ins.columns if c != "_slice"])
+    return joined.filter(F.col("_person").isNull()).select([c for c in ins.columns if c not in ("_slice", "_period")])

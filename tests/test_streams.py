@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import timedelta
 
 import pytest
@@ -178,6 +179,37 @@ def test_unmatched_waits_for_the_bound(spark):
     assert rows(got, "person") == [(2,), (3,)]
 
 
+def test_unmatched_equals_brute_force(spark):
+    within, start = timedelta(hours=2), at(1, 5)
+    rng = random.Random(5)
+    some = lambda n: [(rng.randrange(4), start + timedelta(seconds=rng.randrange(4 * 86400))) for _ in range(n)]
+    checked_in, checked_out = some(300), some(300)
+    ins, outs = Inbox(spark), Inbox(spark)
+    end = [(9, start + timedelta(days=9))]
+    for box, punches in ((ins, checked_in), (outs, checked_out)):
+        box.put(make_punches(spark, punches)).put(make_punches(spark, end))
+    got = drain(live.live_unmatched(ins.stream(), outs.stream(), within, LATENESS), "unmatched")
+    want = [i for i in checked_in if not any(p == i[0] and i[1] < t <= i[1] + within for p, t in checked_out)]
+    assert wall(got, "person", "ts") == sorted(want, key=repr)
+
+
+def test_state_has_as_many_parts_as_the_events_need(spark, folder, monkeypatch):
+    from muster.plans import streams
+
+    parts = []
+    monkeypatch.setattr(streams, "drain_into", lambda stream, path: parts.append(spark.conf.get("spark.sql.shuffle.partitions")) or stream)
+    monkeypatch.setattr(streams, "_wall_clock", lambda df, *times: df.drop("punch_id"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        QUERIES["s05_live_unmatched"](spark, folder)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(parts) == {str(spark.sparkContext.defaultParallelism)}
+    assert int(streams.state_parts(spark, 3 * streams.STATE_ROWS)) <= int(before)
+
+
 def stays(spark, parts, timeout=timedelta(hours=8)):
     box = Inbox(spark)
     for part in parts:
