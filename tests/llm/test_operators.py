@@ -7,9 +7,11 @@ import hashlib
 import itertools
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -252,6 +254,37 @@ def test_language_sets_equal_brute_force():
     assert same >= 58 and max((got > 0).sum(axis=1)) == 6
 
 
+def test_a_text_is_judged_alike_beside_any_others(docs):
+    rows = [r for r in docs.collect() if r.text and r.lang]
+    model = mixture_lang.Model(*language_model(rows))
+    values = [r.text[:500] for r in rows]
+    together = mixture_lang.predict(values, model)
+    for i in range(0, len(values), 7):
+        lang, score, shares = mixture_lang.predict([values[i]], model)
+        assert (lang[0], score[0]) == (together[0][i], together[1][i])
+        assert np.array_equal(shares[0], together[2][i])
+
+
+def language_model(rows):
+    names = sorted({r.lang for r in rows})
+    table_ = np.full((1 << mixture_lang.BUCKET_BITS, len(names)), mixture_lang.SMOOTHING)
+    for r in rows:
+        code, _ = mixture_lang.letters([r.text])
+        np.add.at(table_[:, names.index(r.lang)], mixture_lang.trigrams(code)[code[1:-1] > 0], 1)
+    return names, np.log(table_ / table_.sum(axis=0)).astype(np.float32)
+
+
+def test_language_models_take_little_memory_for_many_texts():
+    text = "the quick brown fox jumps over the lazy dog " * 400
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 1000), pa.array(["en"] * 1000)], ["text", "lang"])
+    tracemalloc.start()
+    try:
+        list(mixture_lang._count(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+
+
 # ---- 4 ----------------------------------------------------------------------------
 
 
