@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import types
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from muster.sources.register import read_register, write_register
 from muster.sources.streams import drain, event_time
 from muster.streaming import live
 from muster.streaming.late import late_punches, route_batch, settle_late, stored_punches
-from muster.streaming.presence import live_state
+from muster.streaming.presence import Stays, live_state
 
 LATENESS = timedelta(minutes=10)
 
@@ -234,6 +236,95 @@ def test_stays_close_by_punch_or_timer(spark):
     assert stays(spark, [second + first + last]) == got
 
 
+class Held:
+    """A state and its handle in one, that counts what is asked of it."""
+
+    def __init__(self):
+        self.asked, self.parts, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):
+        return HeldPart(self)
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.asked += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.asked += 1
+        self.timers.remove(ms)
+
+
+class HeldPart:
+    def __init__(self, held):
+        self.held, self.rows = held, []
+
+    def ask(self, rows):
+        self.held.asked += 1
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.ask([*self.rows, *rows])
+
+    def put(self, rows):
+        self.ask(rows)
+
+    def update(self, row):
+        self.ask([row])
+
+    def clear(self):
+        self.ask([])
+
+    def exists(self):
+        self.held.asked += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.held.asked += 1
+        return self.rows[0] if self.rows and not isinstance(self.rows[0][0], bytes) else iter(self.rows)
+
+
+def plain_stays(punches, timeout):
+    out, by_person = [], {}
+    for person, t in sorted(punches):
+        by_person.setdefault(person, []).append(t)
+    for person, times in by_person.items():
+        i = 0
+        while i < len(times):
+            punched = i + 1 < len(times) and times[i + 1] - times[i] <= timeout
+            out.append((person, times[i], times[i + 1] if punched else times[i] + timeout, "punch" if punched else "timeout"))
+            i += 1 + punched
+    return sorted(out)
+
+
+def test_a_bucket_of_many_persons_asks_the_state_a_few_times():
+    rng, timeout = random.Random(3), timedelta(hours=1)
+    big = 1 << 60
+    punches = [(big + rng.randrange(400), rng.randrange(24 * 3_600_000_000)) for _ in range(4000)]
+    held, got, step = Held(), [], 6 * 3_600_000
+    stays = Stays(timeout)
+    stays.init(held)
+    for wave in range(6):  # the last ones bring none
+        rows = [p for p in punches if p[1] // 1000 // step == wave]
+        if rows:
+            frame = pd.DataFrame(rows, columns=["known_person", "at"]).assign(unknown=False)
+            list(stays.handleInputRows((7,), iter([frame[:100], frame[100:]]), None))
+        assert len(held.timers) == (1 if wave < 5 else 0)
+        passed = types.SimpleNamespace(getCurrentWatermarkInMs=lambda at=(wave + 1) * step - 1000: at)
+        for ms in [t for t in held.timers if t <= passed.getCurrentWatermarkInMs()]:
+            held.timers.remove(ms)
+            got += [tuple(r) for f in stays.handleExpiredTimer((7,), passed, None) for r in f.itertuples(index=False)]
+    assert sorted(got) == plain_stays(punches, timeout // timedelta(microseconds=1))
+    assert held.asked < 6 * 20
+
+
+def test_stays_of_nobody_and_of_large_ids(spark):
+    punches = [(None, at(1, 9)), ((1 << 60) + 1, at(1, 9)), ((1 << 60) + 1, at(1, 10)), (None, at(1, 11))]
+    want = [((1 << 60) + 1, at(1, 9), at(1, 10), "punch"), (None, at(1, 9), at(1, 11), "punch")]
+    assert stays(spark, [punches, [(9, at(9))]]) == want
+
+
 def test_events_may_be_a_file_or_a_folder(spark, folder):
     copy = scratch(spark, "tables")
     spark.read.parquet(f"{folder}/events.parquet").repartition(3).write.parquet(f"{copy}/events.parquet")
